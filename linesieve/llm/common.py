@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,25 +72,32 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys in batches that are sorted by them; a run may span batches."""
-    held: list[pd.DataFrame] = []
+def sorted_runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal keys, in batches that are sorted by them; a run may span batches."""
+    held: list[list[np.ndarray]] = []
     last = None
+
+    def whole() -> list[np.ndarray]:
+        return held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+
     for frame in frames:
-        if not len(frame):
+        n = len(frame)
+        if not n:
             continue
-        index = frame[keys[0]].to_numpy() if len(keys) == 1 else list(zip(*(frame[k].to_numpy() for k in keys)))
-        start = 0
-        for i in range(len(frame)):
-            if last is None or index[i] != last:
-                if i > start:
-                    held.append(frame.iloc[start:i])
-                if held:
-                    yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held, start, last = [], i, index[i]
-        held.append(frame.iloc[start:])
+        by, have = [frame[k].to_numpy() for k in keys], [frame[c].to_numpy() for c in columns]
+        new = np.zeros(n, dtype=bool)
+        for k in by:
+            new[1:] |= k[1:] != k[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), n]
+        for a, z in zip(edges, edges[1:]):
+            key = [k[a] for k in by] if a == 0 else None
+            if held and (key is None or key != last):
+                yield whole()
+                held = []
+            held.append([c[a:z] for c in have])
+        last = [k[-1] for k in by]
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield whole()
 
 
 def columns_like(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -106,4 +114,4 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["T", "WS", "WS_CHARS", "columns_like", "drop", "materialise", "own_name", "process_cache", "remainder", "scratch_path", "scratch_root", "sorted_groups", "utf8", "words_of"]
+__all__ = ["T", "WS", "WS_CHARS", "columns_like", "drop", "materialise", "own_name", "process_cache", "remainder", "scratch_path", "scratch_root", "sorted_runs", "utf8", "words_of"]
