@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesieve.llm import chat, mixing, quality_rules, simhash
+from linesieve.llm import chat, mixing, quality_classifier, quality_rules, simhash, token_orc, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where the vocabulary file lies; it is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -25,10 +36,18 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,9 +78,12 @@ FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN f ON r.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op3_chat_windows": op3_chat_windows,
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op6_quality_rff": op6_quality_rff,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_orc": op8_token_orc,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
