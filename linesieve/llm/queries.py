@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesieve.llm import chat, mixing, quality_classifier, quality_rules, simhash, token_orc, toxicity
+from linesieve.llm import bpe_chunks, chat, mixing, ngram_lm, quality_classifier, quality_rules, simhash, token_orc, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(planted)))
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -80,10 +88,12 @@ FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN f ON r.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op3_chat_windows": op3_chat_windows,
+    "op4_bloom_lm": op4_bloom_lm,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op6_quality_rff": op6_quality_rff,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_orc": op8_token_orc,
+    "op9_bpe_chunks": op9_bpe_chunks,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
