@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesieve.llm import bpe_chunks, chat, mixing, ngram_lm, quality_classifier, quality_rules, simhash, token_orc, toxicity
+from linesieve.llm import ann, bpe_chunks, chat, mixing, ngram_lm, quality_classifier, quality_rules, simhash, token_orc, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -87,6 +91,7 @@ FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN f ON r.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op2_learned_partitions": op2_learned_partitions,
     "op3_chat_windows": op3_chat_windows,
     "op4_bloom_lm": op4_bloom_lm,
     "op5_simhash_bktree": op5_simhash_bktree,
