@@ -68,8 +68,8 @@ def process_cache(name: str, make):
     return kept[name]
 
 
-def utf8(text: str | None) -> bytes:
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+def utf8(text: str | bytes | None) -> bytes:
+    return b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
 
 
 def sorted_runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:

@@ -9,11 +9,12 @@ so ids come out in order and no text is held with its tokens.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,33 +26,59 @@ OPTIONS = {"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.in
 
 
 class WordEncoder:
-    """Ids of a text, word by word: the words between ASCII white space are encoded once and kept.
+    """Ids of a text, word by word: words between ASCII white space are encoded once and kept, the frequent ones for long.
 
     Right for tokenizers whose pre-tokenizer drops white space and whose normalizer doesn't reach across it: NFC composes
-    nothing with a space, and runs of white space become one, which is then dropped.
+    nothing with a space, and runs of white space become one, which is then dropped. New words are encoded together, with
+    a control character between them that is a token of its own; words that hold it are encoded alone.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    MARK = "\x01"
+
+    def __init__(self, path: str, keep: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        self.run = getattr(t, "encode_batch_fast", t.encode_batch)
+        self.kind = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        mark = t.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and t.encode(f"a {self.MARK} a", add_special_tokens=False).ids[1:-1] == mark else None
         self.keep = keep
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        known, kind = self.known, self.kind
+        alone = [w for w in words if self.mark is None or b"\x01" in w]
+        together = [w for w in words if self.mark is not None and b"\x01" not in w]
+        for w, e in zip(alone, self.run([w.decode("utf-8", "surrogatepass") for w in alone], add_special_tokens=False) if alone else [], strict=True):
+            known[w] = np.array(e.ids, dtype=kind).tobytes()
+        size, sep = kind.itemsize, f" {self.MARK} ".encode()
+        groups = [together[k : k + 500] for k in range(0, len(together), 500)]
+        for g, e in zip(groups, self.run([sep.join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False) if groups else [], strict=True):
+            ids = np.array(e.ids, dtype=kind)
+            raw, at = ids.tobytes(), 0
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            for w, z in zip(g, ends, strict=True):
+                known[w] = raw[at * size : z * size]
+                at = z + 1
+
+    def encode_batch(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        """The ids of whole texts, exactly those of the tokenizers library; null is empty."""
+        if len(self.known) > self.keep:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         split = [utf8(t).split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype=np.int32)
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([known[w] for w in ws]) if ws else empty for ws in split]
+        new = set().union(*split).difference(known)
+        kept = new & old.keys()
+        for w in kept:
+            known[w] = old[w]
+        self._encode(list(new - kept))
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), self.kind) for ws in split]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> None:
@@ -68,21 +95,27 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie_length").asc_nulls_first(), F.col("tie_hash")]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = process_cache(f"words:{tokenizer}", lambda: WordEncoder(tokenizer))
         part, at = TaskContext.get().partitionId(), 0
-        for f in frames:
-            for k in range(0, len(f), 200):
-                g = f.iloc[k : k + 200]
-                ids = [np.append(x, np.int32(end_id)) for x in encoder.encode_batch(list(g["text"]))]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pd.DataFrame({"part": np.int32(part), "at": starts, "doc_id": g["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "n_tokens": n, "ids": ids})
-
-    dealt.select("doc_id", "text").mapInPandas(encode, SCHEMA).write.options(**OPTIONS).orc(f"{path}/data")
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                g = b.slice(k, 256)
+                ids = encoder.encode_batch(g.column("text").cast(pa.binary()).to_pylist())
+                n = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+                ends = np.cumsum(n)
+                flat = np.full(int(ends[-1]), end_id, dtype=np.int32)
+                for x, z in zip(ids, ends.tolist(), strict=True):
+                    flat[z - 1 - len(x) : z - 1] = x
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), g.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))],
+                    names=["part", "at", "doc_id", "n_tokens", "ids"],
+                )
+                at += int(ends[-1])
+
+    dealt.select("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**OPTIONS).orc(f"{path}/data")
     data = spark.read.schema(SCHEMA).orc(f"{path}/data")
     # One row per part: small however large the corpus.
     sums = data.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
@@ -105,11 +138,14 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
 def digests(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from what read() gives."""
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in ids], dtype="int64")
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            ends, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4", copy=False)
+            crcs = [zlib.crc32(values[a:z].tobytes()) for a, z in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", F.col("n_tokens"), crc("ids").alias("ids_crc32"))
+    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
