@@ -175,7 +175,7 @@ class Scorer:
     def batch(self, texts: list[str | None]) -> list[tuple]:
         """(tokens, known, base, score, hashes of other words) of each text; known and base as if those had no counts."""
         m = self.model
-        if len(self.words) > 600_000:
+        if len(self.words) > 400_000:
             self.reset()
         ids, starts = sequences(texts, self.words)
         new = self.words.grown()
@@ -240,7 +240,7 @@ def count_ngrams(texts: DataFrame, order: int, ranges: int) -> DataFrame:
         for f in frames:
             column = list(f["text"])
             for i in range(0, len(column), 256):
-                if len(words) > 600_000:
+                if len(words) > 400_000:
                     words = Vocabulary()
                 ids, starts = sequences(column[i : i + 256], words)
                 words.grown()
@@ -282,9 +282,10 @@ def train(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, base: float
         pairs = [uni, *[_merge(part[part["ord"] == k]) for k in range(2, order + 1)]]
         keys, counts = (np.concatenate(x) for x in zip(*pairs, strict=True))
         bits, least = segment(keys, counts, most_bits, base)
-        # The range's most frequent words, ties to the smaller hash.
+        # The range's most frequent words, half of them at most; ties to the smaller hash.
         at = np.lexsort((uni[0], -uni[1]))
-        hot, rare = np.sort(at[:most_hot]), np.sort(at[most_hot:])
+        some = min(most_hot, (len(at) + 1) // 2)
+        hot, rare = np.sort(at[:some]), np.sort(at[some:])
         row = [int(part["range"].iloc[0]), int(uni[1].sum()), len(uni[0])]
         for x in (hot, rare):
             row += [uni[0][x].tobytes(), uni[1][x].tobytes()]
