@@ -10,6 +10,7 @@ so ids come out in order and no text is held with its tokens.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,34 @@ from linesieve.llm.common import columns_like, process_cache, scratch_path, utf8
 
 END_ID = 1
 SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
-OPTIONS = {"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+OPTIONS = {"orc.compress": "LZ4", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+
+
+_ALNUM = {bytes([b]) for b in range(128) if chr(b).isalnum()}
+
+
+class Numbers(dict):
+    """Words to numbers in order of appearance; fresh has those that came since it was last emptied."""
+
+    def __init__(self, words: list[bytes] = ()):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class WordEncoder:
-    """Ids of a text, word by word: words between ASCII white space are encoded once and kept, the frequent ones for long.
+    """Ids of a text, word by word: words between ASCII white space are encoded once and kept, the more used ones for long.
 
     Right for tokenizers whose pre-tokenizer drops white space and whose normalizer doesn't reach across it: NFC composes
-    nothing with a space, and runs of white space become one, which is then dropped. New words are encoded together, with
-    a control character between them that is a token of its own; words that hold it are encoded alone.
+    nothing with a space, and runs of white space become one, which is then dropped. ASCII capitals are folded first, which
+    the normalizer does in any case, unless the text may name an added token. New words are encoded together. Words of
+    letters alone are one piece each, whose last id tells its end; others have a control character between them that is a
+    token of its own, and words that hold that are encoded alone. A mark after an ASCII letter or digit at a word's end is
+    a piece by itself, so such a word is put together from its parts. What a tokenizer doesn't do, it isn't trusted with.
     """
 
     MARK = "\x01"
@@ -44,55 +64,111 @@ class WordEncoder:
         t.no_padding()
         self.run = getattr(t, "encode_batch_fast", t.encode_batch)
         self.kind = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        mark = t.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 and t.encode(f"a {self.MARK} a", add_special_tokens=False).ids[1:-1] == mark else None
+        one = lambda x: t.encode(x, add_special_tokens=False).ids
+        mark = one(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 and one(f"a {self.MARK} a")[1:-1] == mark else None
+        self.lower = one("aQ") == one("aq")
+        self.marks = {m.encode(): np.array(one(m), dtype=self.kind).tobytes() for m in ".,;:!?" if one("a" + m) == one("a") + one(m) and one("7" + m) == one("7") + one(m)}
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        vocabulary = t.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max([0, *vocabulary.values()]) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.keep = keep
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        known, kind = self.known, self.kind
-        alone = [w for w in words if self.mark is None or b"\x01" in w]
-        together = [w for w in words if self.mark is not None and b"\x01" not in w]
-        for w, e in zip(alone, self.run([w.decode("utf-8", "surrogatepass") for w in alone], add_special_tokens=False) if alone else [], strict=True):
-            known[w] = np.array(e.ids, dtype=kind).tobytes()
-        size, sep = kind.itemsize, f" {self.MARK} ".encode()
-        groups = [together[k : k + 500] for k in range(0, len(together), 500)]
-        for g, e in zip(groups, self.run([sep.join(g).decode("utf-8", "surrogatepass") for g in groups], add_special_tokens=False) if groups else [], strict=True):
-            ids = np.array(e.ids, dtype=kind)
-            raw, at = ids.tobytes(), 0
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            for w, z in zip(g, ends, strict=True):
-                known[w] = raw[at * size : z * size]
-                at = z + 1
+        self._hold([], np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _hold(self, words: list[bytes], flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> None:
+        self.numbers = Numbers(words)
+        self.flat, self.offsets, self.lengths, self.used = flat, offsets, lengths, np.zeros(len(words), np.int64)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words in a row, and where each ends."""
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(int(n.sum())) + np.repeat(self.offsets[at] - (ends - n), n)], ends
+
+    def _shrink(self) -> None:
+        best = np.sort(np.argsort(-self.used, kind="stable")[: self.keep // 2])
+        words = list(self.numbers)
+        flat, ends = self._gather(best)
+        n = self.lengths[best]
+        self._hold([words[i] for i in best.tolist()], flat, ends - n, n)
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, kind, size = {}, self.kind, self.kind.itemsize
+        plain, mixed, alone = [], [], []
+        sure = self.mark is not None
+        for w in words:
+            s = w.decode("utf-8", "surrogatepass")
+            if self.lower and s.isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s)):
+                plain.append((w, s))
+            elif sure and self.MARK not in s:
+                mixed.append((w, s))
+            else:
+                alone.append((w, s))
+        for sep, these in ((" ", plain), (f" {self.MARK} ", mixed)):
+            groups = [these[k : k + 500] for k in range(0, len(these), 500)]
+            for g, e in zip(groups, self.run([sep.join(s for _, s in g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
+                ids = np.array(e.ids, dtype=kind)
+                raw, at = ids.tobytes(), 0
+                gap = sep != " "
+                ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)] if gap else (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1).tolist()
+                if len(ends) != len(g):
+                    alone += g
+                    continue
+                for (w, _), z in zip(g, ends, strict=True):
+                    out[w] = raw[at * size : z * size]
+                    at = z + gap
+        for (w, _), e in zip(alone, self.run([s for _, s in alone], add_special_tokens=False) if alone else [], strict=True):
+            out[w] = np.array(e.ids, dtype=kind).tobytes()
+        return out
+
+    def encode_flat(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts in a row, exactly those of the tokenizers library, and how many each has; null is empty."""
+        if len(self.numbers) > self.keep:
+            self._shrink()
+        words, counts = [], []
+        for raw in map(utf8, texts):
+            ws = (raw.lower() if self.lower and b"<|" not in raw else raw).split()
+            counts.append(len(ws))
+            words += ws
+        numbers = self.numbers
+        held = len(self.lengths)
+        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if numbers.fresh:
+            marks, ends = self.marks, _ALNUM
+            marked = {w: numbers[w[:-1]] for w in numbers.fresh.copy() if w[-1:] in marks and w[-2:-1] in ends}
+            got = self._encode([w for w in numbers.fresh if w not in marked])
+            for w, stem in marked.items():
+                o = int(self.offsets[stem]) if stem < held else 0
+                got[w] = (self.flat[o : o + int(self.lengths[stem])].tobytes() if stem < held else got[w[:-1]]) + marks[w[-1:]]
+            pieces = [got[w] for w in numbers.fresh]
+            n = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+            self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(n) - n])
+            self.lengths = np.concatenate([self.lengths, n])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(pieces), self.kind)])
+            self.used = np.concatenate([self.used, np.zeros(len(n), np.int64)])
+            numbers.fresh = []
+        self.used += np.bincount(at, minlength=len(self.used))
+        flat, ends = self._gather(at)
+        stops = np.append(0, ends)[np.cumsum([0, *counts])]
+        return flat, np.diff(stops)
 
     def encode_batch(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
-        """The ids of whole texts, exactly those of the tokenizers library; null is empty."""
-        if len(self.known) > self.keep:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        split = [utf8(t).split() for t in texts]
-        new = set().union(*split).difference(known)
-        kept = new & old.keys()
-        for w in kept:
-            known[w] = old[w]
-        self._encode(list(new - kept))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), self.kind) for ws in split]
+        flat, n = self.encode_flat(texts)
+        return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> None:
     """Encodes all texts (null: empty), adds end_id to each, and writes the data set at path.
 
-    Rows are ordered by doc_id (null first), then by length and hash of the text, so equal ids have a fixed order unless
-    their texts are equal too. Rows of one id may lie in several parts. An empty table gives a data set without documents.
+    Rows are ordered by doc_id (null first), and rows of one id as the table has them; they may lie in several parts. An empty table gives a data set without documents.
     """
     spark = docs.sparkSession
     base = columns_like(docs, {"doc_id": "long", "text": "string"})
-    tie = [F.length("text").alias("tie_length"), F.xxhash64("text").alias("tie_hash")]
-    keyed = base.select("doc_id", *tie, "text")
+    # The row's place among equal ids: it splits an id that is repeated very often, and needs no look at the text.
+    keyed = base.select("doc_id", F.monotonically_increasing_id().alias("tie"), "text")
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie_length").asc_nulls_first(), F.col("tie_hash")]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +179,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 g = b.slice(k, 256)
-                ids = encoder.encode_batch(g.column("text").cast(pa.binary()).to_pylist())
-                n = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+                ids, n = encoder.encode_flat(g.column("text").cast(pa.binary()).to_pylist())
+                flat = np.full(len(ids) + len(n), end_id, dtype=np.int32)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                n = n + 1
                 ends = np.cumsum(n)
-                flat = np.full(int(ends[-1]), end_id, dtype=np.int32)
-                for x, z in zip(ids, ends.tolist(), strict=True):
-                    flat[z - 1 - len(x) : z - 1] = x
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), g.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))],
                     names=["part", "at", "doc_id", "n_tokens", "ids"],
