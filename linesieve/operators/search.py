@@ -30,9 +30,9 @@ def line_structs(spec: SearchSpec, text: Column, matcher: Matcher | None = None)
     """array of (n, line, hit): the lines of a text; hit is whether a line is wanted."""
     matcher = matcher or plan(spec)
     if spec.mode == "buffer" and not buffer_is_lines(spec):
-        marked = line_array(F.regexp_replace(text, f"({matcher.java})", MARK.replace("$", "\\$") + "$1"))
+        marked = F.slice(F.split(F.regexp_replace(text, f"({matcher.java})", MARK + "$1"), "\n", -1), 1, F.size(line_array(text)))
         shape = lambda line, i: F.struct((i + 1).cast("int").alias("n"), F.replace(line, F.lit(MARK), F.lit("")).alias("line"), _sign(line.contains(MARK), spec).alias("hit"))
-        # A match at the very end, after the last line end, is on no line; so is what line_array() leaves out.
+        # A match after the last line end is on no line.
         return F.transform(marked, shape)
     return F.transform(line_array(text), lambda line, i: F.struct((i + 1).cast("int").alias("n"), line.alias("line"), _sign(matcher.matches(line), spec).alias("hit")))
 

@@ -7,7 +7,6 @@ by itself, on the driver, and reads in tasks.
 from __future__ import annotations
 
 import os
-import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -106,7 +105,7 @@ class FilesReader(DataSourceReader):
 
 
 class FilesStreamReader(DataSourceStreamReader):
-    """Files whose time of change lies between two looks at the clock."""
+    """Files whose time of change is later than that of all files at the last look."""
 
     def __init__(self, options: dict):
         self.options = Options(options)
@@ -115,7 +114,7 @@ class FilesStreamReader(DataSourceStreamReader):
         return {"ns": 0}
 
     def latestOffset(self) -> dict:
-        return {"ns": time.time_ns()}
+        return {"ns": max((x[3] for x in self.options.files()), default=0)}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
         return splits(x for x in self.options.files() if start["ns"] < x[3] <= end["ns"])
