@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from linesieve.plans.storage import scratch_path
 
 #: ASCII white space, which alone separates words.
 WS = r"[\x20\x09-\x0D]+"
@@ -23,19 +22,6 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(-1).cast("long"))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is named, a temporary one of this machine, which is then set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="linesieve-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/linesieve/{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -114,4 +100,4 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["T", "WS", "WS_CHARS", "columns_like", "drop", "materialise", "own_name", "process_cache", "remainder", "scratch_path", "scratch_root", "sorted_runs", "utf8", "words_of"]
+__all__ = ["WS", "WS_CHARS", "columns_like", "drop", "materialise", "own_name", "process_cache", "remainder", "scratch_path", "sorted_runs", "utf8", "words_of"]

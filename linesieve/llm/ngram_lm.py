@@ -230,6 +230,8 @@ def count_ngrams(texts: DataFrame, order: int, ranges: int) -> DataFrame:
                     continue
                 keys, n = np.unique(np.concatenate(held[k]), return_counts=True)
                 held[k].clear()
+                if not len(keys):
+                    continue
                 of = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
                 edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(keys)]
                 n = n.astype(np.uint32)

@@ -64,6 +64,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+             length('<s>[INST]  [/INST]</s>') + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+             + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) AS chars FROM c),
+p AS (SELECT *, row_number() OVER o - 1 AS pos, sum(tokens) OVER o - tokens AS start, sum(tokens) OVER o AS stop FROM l
+      WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT conv_id, min(pos) AS sys_pos, arg_min(tokens, pos) AS sys_tokens, arg_min(chars, pos) AS sys_chars FROM p WHERE role = 'system' GROUP BY conv_id),
+r AS (SELECT p.*, sys_pos, sys_chars, greatest(1024 - 192 - coalesce(sys_tokens, 0), 256) // 2 AS half FROM p LEFT JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+w AS (SELECT *, 2 * ((stop - 1) // half) + CASE WHEN tokens > half THEN 0 ELSE 1 END AS win FROM r),
+h AS (SELECT conv_id, win, min(pos) AS head, min(start) AS begin, sum(chars) AS own, max(sys_chars) AS sys_chars, coalesce(max(CAST(pos = sys_pos AS INT)), 0) AS has_sys FROM w GROUP BY conv_id, win),
+b AS (SELECT h.conv_id, sum(w.chars) AS back FROM h JOIN w ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos BETWEEN h.head - 4 AND h.head - 1
+      WHERE w.start >= h.begin - 192 AND NOT coalesce(w.pos = w.sys_pos, false) GROUP BY h.conv_id),
+f AS (SELECT conv_id, sum(own) + sum(CASE WHEN has_sys = 0 THEN coalesce(sys_chars, 0) ELSE 0 END) AS chars FROM h GROUP BY conv_id),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
+             coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss FROM p GROUP BY conv_id)
+SELECT g.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f.chars + coalesce(b.back, 0) AS BIGINT) AS formatted_chars
+FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN b ON g.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
 OP10_SQL = r"""
 WITH r AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -101,4 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_windows": OP3_SQL, "op10_mixing": OP10_SQL}
