@@ -5,12 +5,14 @@ wherever they stand. A worker encodes a chunk once, while it is kept, and a docu
 chunks'. Where two chunks meet their ids need not be those of the whole text. The join is re-encoded from the last place in
 the left chunk to the first in the right one at which the pre-tokenizer must cut, whatever stands on either side: between
 a visible ASCII character and ASCII white space, since none of its tokens has white space after anything else. A chunk
-without such a place is taken into the join, and so is the next, until both sides agree.
+without such a place is taken into the join, and so is the next, until both sides agree. Within a chunk the same places
+divide the text into short pieces, which a worker encodes once too.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -20,10 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesieve.llm.common import columns_like, process_cache, utf8
+from linesieve.llm.pieces import PieceStore
 
 MIN_CHUNK, MAX_CHUNK, CHUNK_BITS = 256, 8192, 10
 #: Bytes of chunks and ids that one worker keeps.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
+#: Pieces that one worker keeps.
+PIECES = 300_000
+_PIECE = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space that isn't ASCII, or not everyone's, and what may begin an added token: such texts are not divided.
+_ODD = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -79,6 +87,7 @@ class ChunkEncoder:
         self.lengths = np.array([len(x) for x in self.pieces], dtype=np.int64)
         self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.store = PieceStore(np.dtype("<i4"), PIECES)
 
     @staticmethod
     def _bytes() -> dict[str, int]:
@@ -90,6 +99,51 @@ class ChunkEncoder:
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.run(texts, add_special_tokens=False)] if texts else []
 
+    def encode_raw(self, texts: list[bytes]) -> list[np.ndarray]:
+        """encode_texts() by pieces: white space and what follows it, up to the next white space."""
+        out: list = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        for i, ids in zip(whole, self.encode_texts([texts[i].decode("utf-8", "surrogatepass") for i in whole]), strict=True):
+            out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        self.store.shrink()
+        numbers, pieces, counts = self.store.numbers, [], []
+        for i in rest:
+            found = _PIECE.findall(texts[i])
+            counts.append(len(found))
+            pieces += found
+        at = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
+        if numbers.fresh:
+            self.store.add(self._encode_pieces(numbers.fresh))
+        self.store.count(at)
+        flat, ends = self.store.gather(at)
+        stops = np.append(0, ends)[np.cumsum([0, *counts])]
+        for k, i in enumerate(rest):
+            out[i] = flat[stops[k] : stops[k + 1]]
+        return out
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """New pieces, many in one text: those that begin with one ASCII white space and end without any may stand side by side
+        as they would alone. Where the ids' lengths say otherwise each piece is encoded by itself."""
+        out: dict[int, bytes] = {}
+        side = [i for i, w in enumerate(pieces) if w[:1] in (b" ", b"\n") and w[-1:] not in (b" ", b"\t", b"\n", b"\r")]
+        alone = set(range(len(pieces))).difference(side)
+        groups = [side[k : k + 400] for k in range(0, len(side), 400)]
+        for g, ids in zip(groups, self.encode_texts([b"".join([pieces[i] for i in g]).decode("utf-8", "surrogatepass") for g in groups]), strict=True):
+            ends, stops = np.cumsum(self.lengths[ids]), np.cumsum([len(pieces[i]) for i in g])
+            last = np.searchsorted(ends, stops)
+            if not len(ends) or last[-1] >= len(ends) or not np.array_equal(ends[last], stops):
+                alone.update(g)
+                continue
+            raw, a = ids.tobytes(), 0
+            for i, z in zip(g, (last + 1).tolist(), strict=True):
+                out[i] = raw[4 * a : 4 * z]
+                a = z
+        rest = sorted(alone)
+        for i, ids in zip(rest, self.encode_texts([pieces[i].decode("utf-8", "surrogatepass") for i in rest]), strict=True):
+            out[i] = ids.tobytes()
+        return [out[i] for i in range(len(pieces))]
+
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]
         total = int(n.sum())
@@ -130,7 +184,7 @@ class ChunkEncoder:
             docs.append(chunks)
         self.encoded += len(new)
         fresh = {}
-        for c, ids in zip(new, self.encode_texts([c.decode("utf-8", "surrogatepass") for c in new]), strict=True):
+        for c, ids in zip(new, self.encode_raw(list(new)), strict=True):
             fresh[c] = self._places(c, ids)
         look = lambda c: fresh.get(c) or kept[c]
         # Joins of all documents are encoded together.
@@ -156,7 +210,7 @@ class ChunkEncoder:
                 joins.setdefault(carry, len(joins))
                 plan.append(carry)
             plans.append(plan)
-        mended = self.encode_texts([j.decode("utf-8", "surrogatepass") for j in joins])
+        mended = self.encode_raw(list(joins))
         empty = np.zeros(0, np.int32)
         out = [np.concatenate([mended[joins[x]] if isinstance(x, bytes) else x for x in plan]) if plan else empty for plan in plans]
         kept.update(fresh)
