@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linesieve.llm.common import columns_like, process_cache, scratch_path, utf8
+from linesieve.llm.pieces import PieceStore
 
 END_ID = 1
 SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
@@ -29,19 +30,6 @@ OPTIONS = {"orc.compress": "LZ4", "orc.stripe.size": str(16 << 20), "orc.row.ind
 _ALNUM = {bytes([b]) for b in range(128) if chr(b).isalnum()}
 
 
-class Numbers(dict):
-    """Words to numbers in order of appearance; fresh has those that came since it was last emptied."""
-
-    def __init__(self, words: list[bytes] = ()):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 class WordEncoder:
     """Ids of a text, word by word: words between ASCII white space are encoded once and kept, the more used ones for long.
 
@@ -55,7 +43,7 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,25 +61,7 @@ class WordEncoder:
         vocabulary = t.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max([0, *vocabulary.values()]) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.keep = keep
-        self._hold([], np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def _hold(self, words: list[bytes], flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> None:
-        self.numbers = Numbers(words)
-        self.flat, self.offsets, self.lengths, self.used = flat, offsets, lengths, np.zeros(len(words), np.int64)
-
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of numbered words in a row, and where each ends."""
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        return self.flat[np.arange(int(n.sum())) + np.repeat(self.offsets[at] - (ends - n), n)], ends
-
-    def _shrink(self) -> None:
-        best = np.sort(np.argsort(-self.used, kind="stable")[: self.keep // 2])
-        words = list(self.numbers)
-        flat, ends = self._gather(best)
-        n = self.lengths[best]
-        self._hold([words[i] for i in best.tolist()], flat, ends - n, n)
+        self.store = PieceStore(self.kind, keep)
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         out, kind, size = {}, self.kind, self.kind.itemsize
@@ -124,32 +94,24 @@ class WordEncoder:
 
     def encode_flat(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts in a row, exactly those of the tokenizers library, and how many each has; null is empty."""
-        if len(self.numbers) > self.keep:
-            self._shrink()
+        store = self.store
+        store.shrink()
         words, counts = [], []
         for raw in map(utf8, texts):
             ws = (raw.lower() if self.lower and b"<|" not in raw else raw).split()
             counts.append(len(ws))
             words += ws
-        numbers = self.numbers
-        held = len(self.lengths)
+        numbers, held = store.numbers, len(store.lengths)
         at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
         if numbers.fresh:
             marks, ends = self.marks, _ALNUM
             marked = {w: numbers[w[:-1]] for w in numbers.fresh.copy() if w[-1:] in marks and w[-2:-1] in ends}
             got = self._encode([w for w in numbers.fresh if w not in marked])
             for w, stem in marked.items():
-                o = int(self.offsets[stem]) if stem < held else 0
-                got[w] = (self.flat[o : o + int(self.lengths[stem])].tobytes() if stem < held else got[w[:-1]]) + marks[w[-1:]]
-            pieces = [got[w] for w in numbers.fresh]
-            n = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
-            self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(n) - n])
-            self.lengths = np.concatenate([self.lengths, n])
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(pieces), self.kind)])
-            self.used = np.concatenate([self.used, np.zeros(len(n), np.int64)])
-            numbers.fresh = []
-        self.used += np.bincount(at, minlength=len(self.used))
-        flat, ends = self._gather(at)
+                got[w] = (store.ids_of(stem) if stem < held else got[w[:-1]]) + marks[w[-1:]]
+            store.add([got[w] for w in numbers.fresh])
+        store.count(at)
+        flat, ends = store.gather(at)
         stops = np.append(0, ends)[np.cumsum([0, *counts])]
         return flat, np.diff(stops)
 
