@@ -161,9 +161,11 @@ class Index:
         out.write(bytearray(text.encode()))
         out.close()
         _, p = self._fs(f"{self.path}/{name}")
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        context = self.spark.sparkContext
+        over = context._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = context._gateway.new_array(context._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = over
+        context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), options)
 
     def _commit(self, **changes) -> None:
         self.meta = {**self.meta, **changes}

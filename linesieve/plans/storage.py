@@ -8,11 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one of this machine only where
-    none is named, which is then set."""
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder in the one that the cluster shares (spark.checkpoint.dir); a temporary one of this
+    machine only where none is named, which is then set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="linesieve-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/linesieve/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/linesieve/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application left there. Results that haven't been read or written yet are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -349,18 +349,23 @@ def _debounce(spark: SparkSession, d: str) -> DataFrame:
     return maintain.debounced(events).withColumn("paths", F.array_join("paths", ","))
 
 
-@add("case_fold", "SELECT doc_id, lower(text) AS folded FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')", lines=False)
+@add("case_fold", "SELECT doc_id, lower(text) AS folded FROM documents", lines=False)
 def _fold(spark: SparkSession, d: str) -> DataFrame:
-    # The class's least character is the capital for ASCII; lower() makes both sides comparable.
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    return docs.select("doc_id", F.lower(fold_column(F.col("text"))).alias("folded"))
+    # A class's least character is the capital for most letters; lower() makes both sides comparable.
+    return table(spark, d, "documents").select("doc_id", F.lower(fold_column(F.col("text"))).alias("folded"))
 
 
-@add("trigram_crc", GRAMS + "SELECT DISTINCT trigram FROM t")
-def _crc(spark: SparkSession, d: str) -> DataFrame:
+@add("distinct_trigrams", GRAMS + "SELECT DISTINCT trigram FROM t")
+def _trigrams(spark: SparkSession, d: str) -> DataFrame:
     return ix.document_trigrams(corpus(spark, d).docs).select("trigram").distinct()
 
 
+@add("trigram_crc")
+def _crc(spark: SparkSession, d: str) -> DataFrame:
+    """Trigrams with their checksums, which tell ASCII ones apart as well as the trigrams do."""
+    return ix.document_trigrams(corpus(spark, d).docs).select("trigram").distinct().select("trigram", paths.trigram_crc(F.col("trigram")).alias("crc"))
+
+
 @add("mtime_floor", "SELECT event_id, CAST(floor(epoch(ts) / 2) * 2 AS BIGINT) AS mtime FROM events", lines=False)
 def _mtime(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", paths.floor_2s(F.col("ts")).alias("mtime"))
