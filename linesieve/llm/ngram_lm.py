@@ -29,7 +29,7 @@ ORDER, KAPPA, LOG_BASE = 2, 300.0, 1.3
 BITS_PER_ENTRY, PROBES = 8, 3
 #: Bounds of what is broadcast: bytes of the filter, and words with exact counts.
 MAX_FILTER_BYTES, MAX_HOT_WORDS = 96 << 20, 1 << 20
-FLUSH_TOKENS = 1 << 21
+FLUSH_TOKENS = 1 << 20
 END, START = b"\n", b"\n\n"  # no word has white space
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,7 +175,7 @@ class Scorer:
     def batch(self, texts: list[str | None]) -> list[tuple]:
         """(tokens, known, base, score, hashes of other words) of each text; known and base as if those had no counts."""
         m = self.model
-        if len(self.words) > 400_000:
+        if len(self.words) > 250_000:
             self.reset()
         ids, starts = sequences(texts, self.words)
         new = self.words.grown()
@@ -242,7 +242,7 @@ def count_ngrams(texts: DataFrame, order: int, ranges: int) -> DataFrame:
         for f in frames:
             column = list(f["text"])
             for i in range(0, len(column), 256):
-                if len(words) > 400_000:
+                if len(words) > 250_000:
                     words = Vocabulary()
                 ids, starts = sequences(column[i : i + 256], words)
                 words.grown()
