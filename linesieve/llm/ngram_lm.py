@@ -4,8 +4,9 @@ Training texts give n-gram counts, dealt by hash range and added up exactly; no
 Each range then fills its own segment of the filter: an n-gram with quantised count q is entered as (n-gram, 1) ... (n-gram, q),
 and is read back by probing 1, 2, ... until one is missing. The segments together have a fixed largest size, so the filter
 can be broadcast; a range whose n-grams don't fit raises its least count until they do, as when a model is pruned.
-A text's probability interpolates orders: p_k = (c_k + kappa * p_(k-1)) / (c_context + kappa), down to the unigram estimate.
-Counts are read as the lower edge of their class, so probabilities sum to 1 at most, but for false positives.
+A text's probability interpolates orders: p_k = (c_k + kappa * p_(k-1)) / (c_context + slack + kappa), down to the unigram
+estimate. Counts are read as the lower edge of their class, and slack is what false positives add over the whole
+vocabulary, so probabilities sum to 1 at most, as far as the filter's false positives are what is expected of them.
 
 The base score uses exact unigram counts: the most frequent words are broadcast, a fixed number; the others are joined.
 """
@@ -26,7 +27,10 @@ from linesieve.llm.common import columns_like, materialise, remainder, utf8
 
 FOLDS, HELD_OUT = 5, 1
 ORDER, KAPPA, LOG_BASE = 2, 300.0, 1.3
-BITS_PER_ENTRY, PROBES = 8, 3
+#: Bits of the filter for an entry: as many as there is room for, between these.
+LEAST_BITS, MOST_BITS = 16, 24
+#: Probes for the first class, which tells whether an n-gram is there at all, and for each further one.
+FIRST_PROBES, MORE_PROBES = 6, 3
 #: Bounds of what is broadcast: bytes of the filter, and words with exact counts.
 MAX_FILTER_BYTES, MAX_HOT_WORDS = 96 << 20, 1 << 20
 FLUSH_TOKENS = 1 << 20
@@ -103,21 +107,21 @@ def probe_places(keys: np.ndarray, level: int, i: int, bits: np.ndarray) -> np.n
     return (a + np.uint64(i) * (mix(a) | np.uint64(1))) % bits
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int, base: float = LOG_BASE) -> tuple[bytes, int]:
-    """The filter of one hash range, and the least count that it holds."""
+def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int, base: float = LOG_BASE) -> tuple[bytes, int, float]:
+    """The filter of one hash range, the least count that it holds, and its rate of false positives."""
     q, least = levels(counts, base), 1
-    while q.sum() * BITS_PER_ENTRY > most_bits and len(keys):
+    while q.sum() * LEAST_BITS > most_bits and len(keys):
         least += 1
         keep = counts >= least
         keys, counts, q = keys[keep], counts[keep], q[keep]
-    bits = max(64, int(q.sum()) * BITS_PER_ENTRY)
+    bits = max(64, min(int(q.sum()) * MOST_BITS, most_bits))
     flags = np.zeros((bits + 7) // 8 * 8, dtype=bool)
     size = np.uint64(len(flags))
     for level in range(1, int(q.max(initial=0)) + 1):
         keys, q = keys[q >= level], q[q >= level]
-        for i in range(PROBES):
+        for i in range(FIRST_PROBES if level == 1 else MORE_PROBES):
             flags[probe_places(keys, level, i, size)] = True
-    return np.packbits(flags, bitorder="little").tobytes(), least
+    return np.packbits(flags, bitorder="little").tobytes(), least, float(flags.mean() ** FIRST_PROBES)
 
 
 @dataclass
@@ -134,6 +138,7 @@ class Model:
     distinct: int
     texts: int
     all_hot: bool
+    false_rate: float = 0.0
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Lower edges of the counts, by repeated membership probes."""
@@ -143,7 +148,7 @@ class Model:
         level = 0
         while len(at):
             level += 1
-            for i in range(PROBES):
+            for i in range(FIRST_PROBES if level == 1 else MORE_PROBES):
                 k, r = keys[at], ranges[at]
                 place = probe_places(k, level, i, self.bits[r])
                 byte = self.filter[self.offsets[r] + (place >> np.uint64(3)).astype(np.int64)]
@@ -200,7 +205,7 @@ class Scorer:
             n = np.zeros(len(use))
             ask = np.flatnonzero(seen > 0)
             n[ask] = np.minimum(m.counts(key[use[ask]]), seen[ask])
-            p[use] = (n + m.kappa * p[use]) / (seen + m.kappa)
+            p[use] = (n + m.kappa * p[use]) / (seen + m.distinct * m.false_rate + m.kappa)
             context = np.zeros(len(ids))
             context[use] = n
         logp = np.where(first, 0.0, np.log10(p))
@@ -270,7 +275,7 @@ def _merge(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-MERGED = "range int, tokens long, distinct long, hot_keys binary, hot_counts binary, rare_keys binary, rare_counts binary, segment binary, least int"
+MERGED = "range int, tokens long, distinct long, hot_keys binary, hot_counts binary, rare_keys binary, rare_counts binary, segment binary, least int, false_rate double"
 
 
 def train(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, base: float = LOG_BASE, max_filter_bytes: int = MAX_FILTER_BYTES, max_hot_words: int = MAX_HOT_WORDS) -> tuple[Model, DataFrame]:
@@ -283,7 +288,7 @@ def train(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, base: float
         uni = _merge(part[part["ord"] == 1])
         pairs = [uni, *[_merge(part[part["ord"] == k]) for k in range(2, order + 1)]]
         keys, counts = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        bits, least = segment(keys, counts, most_bits, base)
+        bits, least, false_rate = segment(keys, counts, most_bits, base)
         # The range's most frequent words, half of them at most; ties to the smaller hash.
         at = np.lexsort((uni[0], -uni[1]))
         some = min(most_hot, (len(at) + 1) // 2)
@@ -291,10 +296,10 @@ def train(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, base: float
         row = [int(part["range"].iloc[0]), int(uni[1].sum()), len(uni[0])]
         for x in (hot, rare):
             row += [uni[0][x].tobytes(), uni[1][x].tobytes()]
-        return pd.DataFrame([[*row, bits, least]], columns=[c.split()[0] for c in MERGED.split(", ")])
+        return pd.DataFrame([[*row, bits, least, false_rate]], columns=[c.split()[0] for c in MERGED.split(", ")])
 
     merged = materialise(count_ngrams(docs, order, ranges).groupBy("range").applyInPandas(merge, MERGED), "lm-merged")
-    tokens, distinct, rare = merged.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.length("rare_keys"))).first()
+    tokens, distinct, rare, false_rate = merged.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.length("rare_keys")), F.avg("false_rate")).first()
     bits, offsets = np.full(ranges, 64, np.uint64), np.zeros(ranges, np.int64)
     blobs, size, keys, counts = [bytes(8)], 8, [], []
     for r in merged.select("range", "segment", "hot_keys", "hot_counts").toLocalIterator():
@@ -308,7 +313,7 @@ def train(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, base: float
     at = np.argsort(hot)
     end = np.uint64(xxhash.xxh64_intdigest(END))
     where = np.flatnonzero(hot[at] == end)
-    model = Model(order, kappa, 64 - int(math.log2(ranges)), bits, offsets, np.frombuffer(b"".join(blobs), np.uint8), hot[at], hot_counts[at], int(tokens or 0), int(distinct or 0), int(hot_counts[at][where].sum()), not rare)
+    model = Model(order, kappa, 64 - int(math.log2(ranges)), bits, offsets, np.frombuffer(b"".join(blobs), np.uint8), hot[at], hot_counts[at], int(tokens or 0), int(distinct or 0), int(hot_counts[at][where].sum()), not rare, float(false_rate or 0))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

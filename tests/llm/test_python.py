@@ -150,16 +150,35 @@ def test_language_model(spark):
     assert ngram_lm.score_documents(empty_docs(spark)).count() == 0
 
 
+def test_probabilities_sum_to_one_at_most(spark):
+    docs = spark.createDataFrame([(i, f"a b {w} c a {w}") for i, w in enumerate("pqrstuvwxyz" * 9)], "doc_id long, text string")
+    model, _ = ngram_lm.train(docs.select("text"))
+    scorer = ngram_lm.Scorer(model)
+    words = [*"abcpqrstuvwxyz", ""]
+    p = {w: 10 ** scorer.batch([f"a {w}".strip()])[0][3] for w in words}
+    with_end = {w: 10 ** scorer.batch([f"a {w} a"])[0][3] for w in words if w}
+    first = 10 ** (scorer.batch(["a"])[0][3])
+    assert first < 1 and all(0 < x < 1 for x in (*p.values(), *with_end.values()))
+    h = scorer.words.hashes
+    at = lambda w: scorer.words[w.encode() if w else ngram_lm.END]
+    total = 0.0
+    for w in words:
+        key = ngram_lm.mix(h[at("a")][None] * ngram_lm._K + h[at(w)][None])
+        c, uni = min(model.counts(key)[0], scorer.about[at("a")]), model.unigram(scorer.about[at(w)])
+        total += (c + model.kappa * uni) / (scorer.about[at("a")] + model.distinct * model.false_rate + model.kappa)
+    assert 0.5 < total <= 1.0001
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(3)
     keys, counts = rng.integers(0, 1 << 63, 20_000).astype(np.uint64), rng.zipf(1.6, 20_000).clip(1, 100_000)
-    raw, least = ngram_lm.segment(keys, counts, 1 << 30)
+    raw, least, false_rate = ngram_lm.segment(keys, counts, 1 << 30)
     m = ngram_lm.Model(2, 1.0, 64, np.array([len(raw) * 8], np.uint64), np.array([0]), np.frombuffer(raw, np.uint8), np.zeros(0, np.uint64), np.zeros(0, int), 1, 1, 1, True)
     got = m.counts(keys)
     assert least == 1 and (got >= ngram_lm.lower_edges(60)[ngram_lm.levels(counts)]).all()
     assert (got <= counts).mean() > 0.9 and (got[counts <= 4] == counts[counts <= 4]).mean() > 0.9
-    assert (m.counts(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.06
-    small, least = ngram_lm.segment(keys, counts, 20_000)
+    assert (m.counts(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.002 and false_rate < 0.001
+    small, least, _ = ngram_lm.segment(keys, counts, 20_000)
     assert least > 1 and len(small) * 8 <= 20_000 + 8
 
 
