@@ -169,6 +169,35 @@ def test_probabilities_sum_to_one_at_most(spark):
     assert 0.5 < total <= 1.0001
 
 
+def test_language_model_keeps_all_ngrams(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(r.randint(0, 80)))) for i in range(400)] + [(None, None), (None, "w1 w1 w2")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = lambda t: ["^", *(t or "").split(), "$"]
+    one = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    two = Counter(p for i, t in rows if not held(i) for p in zip(tokens(t), tokens(t)[1:]))
+    n, v = sum(one.values()) - one["^"], len(one) - 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, _ = ngram_lm.train(df.filter("doc_id IS NULL OR crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 1").select("text"))
+    edge = lambda c: ngram_lm.lower_edges(60)[ngram_lm.levels(np.array([c]))[0]]
+
+    def plain(t):
+        s = 0.0
+        for a, b in zip(tokens(t), tokens(t)[1:]):
+            p = (one[b] + 0.5) / (n + 0.5 * (v + 1))
+            s += math.log10((min(edge(two[a, b]), one[a]) + model.kappa * p) / (one[a] + v * model.false_rate + model.kappa))
+        return s
+
+    want = sorted((str(i), plain(t)) for i, t in rows)
+    # The options bounded the model once; whatever they say, all n-grams count.
+    for options in ({}, {"max_filter_bytes": 512, "max_hot_words": 4}):
+        got = sorted((str(r["doc_id"]), r["score"]) for r in ngram_lm.score_documents(df, **options).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        off = [abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)]
+        # A false positive may raise a count here and there.
+        assert sum(x > 1e-3 * abs(b) for x, (_, b) in zip(off, want, strict=True)) <= 8, sorted(off)[-20:]
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(3)
     keys, counts = rng.integers(0, 1 << 63, 20_000).astype(np.uint64), rng.zipf(1.6, 20_000).clip(1, 100_000)
