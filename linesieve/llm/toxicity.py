@@ -3,7 +3,8 @@
 Only confirmed toxic texts count as labelled; all other text is unlabelled, toxic texts among it. With the class prior p,
 the risk of calling the unlabelled negative, less p times the risk of calling the positives negative, estimates the risk
 on negatives; where a batch makes that estimate negative it counts as zero and has no gradient, so the classifier cannot
-fit the toxic texts hidden among the unlabelled. The model is linear in the words of a text, in numpy.
+fit the toxic texts hidden among the unlabelled. The model is linear, in numpy, in the words of a text and in its families
+of words: how many different words begin with the same characters. Families are what rare forms of a word share.
 """
 
 from __future__ import annotations
@@ -25,23 +26,49 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bounds of the training sample, the documented parameters of the fit: rows with the least hash of their id are taken.
 MAX_POSITIVE, MAX_UNLABELLED = 12_000, 36_000
-HASH_BITS = 20
+HASH_BITS = 24
 FEATURES = 4096
-#: Least log-likelihood ratio of a word that is used.
-MIN_GAIN = 22.0
+#: Lengths of the beginnings, in characters, that make a family, and the numbers of its words that are told apart.
+BEGINNINGS, STEPS = (4, 5, 6, 7), (1, 2, 3, 4, 6)
+#: Weight of the squared weights in the risk, which keeps features that tell little small.
+DECAY = 1e-3
+#: Least log-likelihood ratio of a feature that is used.
+MIN_GAIN = 8.0
 _EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
+_MASK = (1 << HASH_BITS) - 1
 
 
-def word_slots(text: str | None, cache: dict[bytes, int]) -> set[int]:
-    """Hash slots of the distinct words, lower-cased in A-Z, without marks at their ends."""
-    out = set()
+def family_slot(family: int, step: int) -> int:
+    return zlib.crc32(bytes([step]), family) & _MASK
+
+
+def word_features(word: bytes, known: dict[int, float] | None = None) -> tuple[int, tuple[int, ...]] | None:
+    """The word's slot and its families; of those in known only, if it is given, and None if there are none."""
+    word = _EDGE.sub(b"", word)
+    slot, u = zlib.crc32(word) & _MASK, word.decode("utf-8", "replace")
+    families = tuple(zlib.crc32(f"^{n} {u[:n]}".encode()) for n in BEGINNINGS if len(u) > n)
+    if known is not None:
+        families = tuple(f for f in families if any(family_slot(f, k) in known for k in STEPS))
+        if slot not in known and not families:
+            return None
+    return slot, families
+
+
+def word_slots(text: str | None, cache: dict, known: dict[int, float] | None = None) -> set[int]:
+    """Hash slots of the distinct words, lower-cased in A-Z, without marks at their ends, and of their families' sizes."""
+    out, forms = set(), {}
     for w in set(utf8(text).lower().split()):
-        s = cache.get(w)
-        if s is None:
+        x = cache.get(w, False)
+        if x is False:
             if len(cache) > 500_000:
                 cache.clear()
-            s = cache[w] = zlib.crc32(_EDGE.sub(b"", w)) & ((1 << HASH_BITS) - 1)
-        out.add(s)
+            x = cache[w] = word_features(w, known)
+        if x:
+            out.add(x[0])
+            for f in x[1]:
+                forms.setdefault(f, set()).add(x[0])
+    for f, of in forms.items():
+        out.update(family_slot(f, k) for k in STEPS if len(of) >= k)
     return out
 
 
@@ -99,8 +126,8 @@ def nnpu(x_p: list[np.ndarray], x_u: list[np.ndarray], features: int, prior: flo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns from ids outside the held-out fold. The class prior is the share of label 1 among the labelled ids there.
 
-    Two passes over a bounded sample: document frequencies by hash slot pick the words that tell most, then each sampled
-    text becomes the numbers of those words. An id with several labels counts by their mean. Without any toxic example
+    Two passes over a bounded sample: document frequencies by hash slot pick the features that tell most, then each sampled
+    text becomes the numbers of those features. An id with several labels counts by their mean. Without any toxic example
     there is nothing to learn, and every text scores the bias, a half percent.
     """
     base = columns_like(docs, {"doc_id": "long", "text": "string"}).filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
@@ -117,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     wanted = materialise(pos.unionByName(unl).groupBy("doc_id").agg(F.max("p").alias("pos"), F.min("p").alias("unl")), "pu-ids")
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[bytes, int] = {}
+        cache: dict = {}
         for f in frames:
             yield pd.DataFrame({"pos": f["pos"], "unl": f["unl"], "slots": [np.fromiter(word_slots(t, cache), np.int32) for t in f["text"]]})
 
@@ -125,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     # A text in both groups counts in both: pos 1 says confirmed, unl 0 says drawn as unlabelled.
     freq = sample.select("pos", (F.col("unl") == 0).cast("int").alias("u"), F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("pos").alias("p"), F.sum("u").alias("u"))
     n_p, n_u = sample.agg(F.sum("pos"), F.sum((F.col("unl") == 0).cast("int"))).first()
-    # Likelihood ratio of a word's share in confirmed texts against the one in all; only words that are surely more frequent
-    # there are of use: among so many words, most that merely look so do by chance.
+    # By likelihood ratio of a feature's share in confirmed texts against the one in all. Among so many, most with a small
+    # ratio merely look more frequent there by chance: MIN_GAIN leaves out those, and the decay keeps the weak ones small.
     top = []
     if n_p and n_u:
         p, u, np_, nu_ = F.col("p"), F.col("u"), F.lit(float(n_p)), F.lit(float(n_u))
@@ -157,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             x_u.append(x)
     if not x_p:
         return Model(np.zeros(0, int), np.zeros(0), math.log(prior / (1 - prior)))
-    w, b = nnpu(x_p, x_u, len(names), prior)
+    w, b = nnpu(x_p, x_u, len(names), prior, decay=DECAY)
     return Model(names, w, b)
 
 
@@ -167,22 +194,11 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weight: dict[bytes, float] = {}
-        mask = (1 << HASH_BITS) - 1
+        cache: dict = {}
         for s in texts:
             out = np.empty(len(s))
             for i, t in enumerate(s):
-                z, seen = bias, {}
-                for w in set(utf8(t).lower().split()):
-                    x = weight.get(w)
-                    if x is None:
-                        if len(weight) > 1_000_000:
-                            weight.clear()
-                        slot = zlib.crc32(_EDGE.sub(b"", w)) & mask
-                        x = weight[w] = (slot, table[slot]) if slot in table else False
-                    if x:
-                        seen[x[0]] = x[1]
-                out[i] = z + sum(seen[k] for k in sorted(seen))
+                out[i] = bias + sum(table[k] for k in sorted(word_slots(t, cache, table)) if k in table)
             yield pd.Series(sigmoid(out))
 
     return score

@@ -47,6 +47,16 @@ def test_classifiers(spark, module, label, cut, folds, out):
     assert found[0, 1] <= 0.02 * (found[0, 0] + found[0, 1])
 
 
+def test_toxicity_in_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.score_documents(docs, labels).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id")
+    found = {r["lang"]: r for r in got.groupBy("lang").agg(F.sum("toxic").alias("p"), F.sum(F.col("toxic") * F.col("predicted")).alias("tp"), F.sum(1 - F.col("toxic")).alias("n"), F.sum((1 - F.col("toxic")) * F.col("predicted")).alias("fp")).collect()}
+    print({k: (r["tp"], r["p"], r["fp"], r["n"]) for k, r in found.items()})
+    assert set(found) == {"en", "de", "fr", "es"}
+    assert all(r["tp"] >= 0.6 * r["p"] > 0 and r["fp"] <= 0.05 * r["n"] for r in found.values())
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_classifiers_on_odd_rows(spark, module):
     rows, docs = odd_docs(spark)
