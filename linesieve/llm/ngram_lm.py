@@ -16,6 +16,7 @@ Counts of words are exact, for both scores.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,11 @@ LEAST_BITS, MOST_BITS = 16, 24
 #: Probes for the first class, which tells whether an n-gram is there at all, and for each further one.
 FIRST_PROBES, MORE_PROBES = 6, 3
 #: Rows of a block, as a power of two, and bytes of text after which a part of it is counted by itself.
-BLOCK_BITS, PIECE_BYTES = 12, 16 << 20
+BLOCK_BITS, PIECE_BYTES = 12, 12 << 20
+#: Bytes whose words, and tokens whose probabilities, are in memory as such at a time.
+STEP_BYTES, STEP_TOKENS = 1 << 20, 1 << 18
 END, START = b"\n", b"\n\n"  # no word has white space
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,28 +71,49 @@ class Vocabulary(dict):
         return new
 
 
+def _words(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time, however long it is."""
+    at = 0
+    while at < len(raw):
+        found = _SPACE.search(raw, at + STEP_BYTES) if len(raw) - at > STEP_BYTES else None
+        end = found.start() if found else len(raw)
+        yield raw[at:end].lower().split()
+        at = end
+
+
 def sequences(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of START, words, END for each text in a row, and where each text begins."""
-    words, starts, at = [], [], 0
+    parts, starts, at, held = [], [], 0, []
+
+    def put() -> None:
+        parts.append(np.fromiter(map(vocabulary.__getitem__, held), np.int32, len(held)))
+        held.clear()
+
     for t in texts:
-        w = utf8(t).lower().split()
         starts.append(at)
-        at += len(w) + 2
-        words.append(START)
-        words += w
-        words.append(END)
-    return np.fromiter(map(vocabulary.__getitem__, words), np.int64, at), np.array(starts, dtype=np.int64)
+        held.append(START)
+        at += 2
+        for w in _words(utf8(t)):
+            held += w
+            at += len(w)
+            if len(held) > STEP_TOKENS:
+                put()
+        held.append(END)
+    put()
+    return np.concatenate(parts), np.array(starts, dtype=np.int64)
 
 
 def keys_by_order(h: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order: the key of the n-gram that ends at each place, and whether it lies within its text."""
-    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    place = np.arange(len(h), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(h))))
     out, key = [], h
     for k in range(1, order + 1):
         if k > 1:
             before = np.empty_like(key)
             before[1:], before[:1] = key[:-1], 0
-            key = mix(before * _K + h)
+            before *= _K
+            before += h
+            key = mix(before)
         out.append((key, place >= k - 1))
     return out
 
@@ -195,21 +220,17 @@ class Answers(Estimates):
     texts: int
     false_rate: float
     base: float
-    by_order: dict[int, np.ndarray]  # exact counts of the distinct words, levels of other n-grams, by their sorted keys
+    by_order: dict[int, tuple[np.ndarray, np.ndarray]]  # sorted keys with the words' exact counts, the levels of other n-grams
 
     def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
-        some, at = np.unique(keys, return_inverse=True)
-        q = self.by_order.get(order, np.zeros(0, np.uint8))
-        if len(q) != len(some):
-            raise RuntimeError(f"{len(q)} answers for {len(some)} n-grams of order {order}")
-        return lower_edges(int(q.max(initial=0)), self.base)[q][at]
+        some, q = self.by_order[order]
+        return lower_edges(int(q.max(initial=0)), self.base)[q[np.searchsorted(some, keys)]]
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of words, START before them."""
-        some, at = np.unique(hashes[1:], return_inverse=True)
-        if len(self.by_order[1]) != len(some):
-            raise RuntimeError(f"{len(self.by_order[1])} answers for {len(some)} words")
-        return np.append(0, self.by_order[1][at])
+        """Counts of words; START, which is a context only, has none."""
+        some, n = self.by_order[1]
+        at = np.minimum(np.searchsorted(some, hashes), len(some) - 1)
+        return np.where(some[at] == hashes, n[at], 0).astype(np.int64)
 
 
 class Scorer:
@@ -224,15 +245,22 @@ class Scorer:
 
     def batch(self, texts: list[str | None]) -> list[tuple]:
         """(tokens, known, base, score) of each text."""
-        m = self.model
         if len(self.words) > 250_000:
             self.reset()
         ids, starts = sequences(texts, self.words)
-        new = self.words.grown()
+        self.enter()
+        return self.score(ids, starts)
+
+    def enter(self) -> None:
+        """Counts of the words that came since the last call."""
+        m, new = self.model, self.words.grown()
         if len(new):
             exact = m.exact(new)
             self.exact, self.about = np.concatenate([self.exact, exact]), np.concatenate([self.about, exact.astype(float)])
             self.exact[0], self.about[0] = 0, m.texts  # START
+
+    def score(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple]:
+        m = self.model
         h = self.words.hashes[ids]
         first = np.zeros(len(ids), dtype=bool)
         first[starts] = True
@@ -254,6 +282,31 @@ class Scorer:
         return list(zip(tokens.tolist(), known.tolist(), np.add.reduceat(base, starts).tolist(), np.add.reduceat(logp, starts).tolist(), strict=True))
 
 
+def score_piece(piece: list[str | None], order: int, answers: dict[int, np.ndarray], sums: dict) -> list[tuple]:
+    """What Scorer.batch() gives, from the answers to the sorted keys of all distinct n-grams of the texts."""
+    words = Vocabulary()
+    ids, starts = sequences(piece, words)
+    hashes = words.grown()
+    by_order = {1: np.unique(hashes[1:])}
+    for k, (key, inside) in enumerate(keys_by_order(hashes[ids], starts, order)[1:], 2):
+        by_order[k] = np.unique(key[inside])
+    answers = {k: answers.get(k, np.zeros(0, np.uint8)) for k in by_order}
+    for k, keys in by_order.items():
+        if len(keys) != len(answers[k]):
+            raise RuntimeError(f"{len(answers[k])} answers for {len(keys)} n-grams of order {k}")
+    scorer = Scorer(Answers(order, by_order={k: (keys, answers[k]) for k, keys in by_order.items()}, **sums))
+    scorer.words, words.fresh = words, hashes.tolist()
+    words.hashes = hashes[:0]
+    scorer.enter()
+    out, i = [], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STEP_TOKENS)))
+        end = starts[j] if j < len(starts) else len(ids)
+        out += scorer.score(ids[starts[i] : end], starts[i:j] - starts[i])
+        i = j
+    return out
+
+
 def count_piece(texts: list[str | None], train: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order: the sorted keys of all distinct n-grams, and how often each is in the training texts."""
     words = Vocabulary()
@@ -421,13 +474,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, b
     sums = answers.filter("block < 0").agg(F.sum("tokens"), F.sum("distinct"), F.sum("texts"), F.avg("false_rate")).first()
     tokens, distinct, texts, false_rate = int(sums[0] or 0), int(sums[1] or 0), int(sums[2] or 0), float(sums[3] or 0)
 
+    sums = {"kappa": kappa, "tokens": tokens, "distinct": distinct, "texts": texts, "false_rate": false_rate, "base": base}
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("rid"), right.sort_values(["first", "ord", "range"])
         out = []
         for (first, last), piece in right.groupby(["first", "last"]):
             by_order = {k: np.frombuffer(b"".join(x["answers"]), np.uint32 if k == 1 else np.uint8) for k, x in piece.groupby("ord")}
             g = left[(left["rid"] >= first) & (left["rid"] <= last)]
-            got = Scorer(Answers(order, kappa, tokens, distinct, texts, false_rate, base, by_order)).batch(list(g["text"]))
+            got = score_piece(list(g["text"]), order, by_order, sums)
             out.append(pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "held_out": g["held_out"].to_numpy(), "n_tokens": [x[0] for x in got], "n_known": [x[1] for x in got], "base_score": [x[2] for x in got], "score": [x[3] for x in got]}))
         return pd.concat(out, ignore_index=True)
 

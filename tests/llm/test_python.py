@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -335,8 +336,8 @@ def test_word_encoder_is_exact():
 
 def test_chunks_are_exact():
     r = random.Random(3)
-    parts = ["a", "Z", "é", "  ", "\n", " ", "'s", "<|endoftext|>", "<|endo", "1", "\t", "\r\n", "日本", "　", "\xa0", "!!", ".", "🙂", "the", "\x00", "I'm"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 3000))) for _ in range(80)] + ["x" * 20_000, "é" * 9000, " " * 5000, "\n" * 3000 + "a", "<|endoftext|>" * 800, "", None]
+    parts = ["a", "Z", "é", "  ", "\n", " ", "'s", "<|endoftext|>", "<|endo", "1", "\t", "\r\n", "日本", "　", "\xa0", "!!", ".", "🙂", "the", "\x00", "I'm", "привет", "。", "本", "か", "，", "\x0b", "\x1c"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 3000))) for _ in range(80)] + ["x" * 20_000, "é" * 9000, " " * 5000, "\n" * 3000 + "a", "<|endoftext|>" * 800, "", None, "日本語です" * 3000]
     texts += texts[:20]
     e = bpe_chunks.ChunkEncoder(BYTE_BPE, cache_bytes=200_000)
     got = [x for k in range(0, len(texts), 16) for x in e.encode_batch(texts[k : k + 16])]
@@ -345,6 +346,30 @@ def test_chunks_are_exact():
     assert all(e.decode(a).decode() == (t or "") == e.tokenizer.decode(a.tolist(), skip_special_tokens=False) for a, t in zip(got, texts, strict=True))
 
 
+@pytest.mark.parametrize("words", ["привет мир как дела ", "日本語の文章です。", "der Bär "])
+def test_chunks_are_reused_in_any_script(words):
+    r = random.Random(8)
+    shared = "".join(words[: r.randint(3, len(words))] + words for _ in range(3000))
+    e = bpe_chunks.ChunkEncoder(BYTE_BPE)
+    texts = [f"{i} {i} {words * i}{shared}{words * (7 - i)}" for i in range(4)]
+    assert all(np.array_equal(a, b) for a, b in zip(e.encode_batch(texts), e.encode_texts(texts), strict=True))
+    # All but what is before and after the passage is reused, and joins are short.
+    assert e.reused > 2.5 * len(shared.encode()) and e.joined < 0.1 * e.reused
+
+
+def test_very_long_text():
+    unit = "日本語の文章です。"
+    e, spent = bpe_chunks.ChunkEncoder(BYTE_BPE), []
+    for n in (1 << 16, 1 << 19):
+        r = random.Random(n)
+        text = "".join(unit[: r.randint(1, 8)] + unit for _ in range(n // 45))
+        begin = time.process_time()
+        ids = e.encode_batch([text])[0]
+        spent.append(time.process_time() - begin)
+        assert e.decode(ids).decode() == text
+    assert spent[1] < 8 * 3 * max(spent[0], 0.05)
+
+
 def test_cuts():
     raw = ("the quick brown fox jumps over the lazy dog — é " * 2000).encode()
     ends = bpe_chunks.cuts(raw)
