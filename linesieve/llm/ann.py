@@ -1,15 +1,17 @@
 """Nearest neighbours over learned partitions.
 
 A bounded sample's neighbour graph is cut into balanced parts with few edges between them; a small network then learns
-from the sample to tell a vector's part, so parts follow neighbourhoods, not cells around centres. All vectors are filed
-under their most probable part. A query is sent to its most probable parts, as many as the sample needed for the wanted
+from the sample to tell a vector's part, so parts follow neighbourhoods, not cells around centres. Where the table is too
+large for as many parts as one network tells apart, the vectors of each part are divided in the same way, by a network of
+its own that a task fits to a bounded sample of them: the number of leaves grows with the table. All vectors are filed
+under their most probable leaf. A query is sent to its most probable leaves, as many as the sample needed for the wanted
 recall, and its candidates there are reranked by exact distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 from linesieve.llm.common import columns_like, materialise
 
-#: Bounds of the sample that the index learns from, its documented parameters.
-SAMPLE, GRAPH_K = 16_000, 12
-PART_ROWS, MAX_PARTS = 1024, 256
-RECALL = 0.985
-#: Vectors in one task's block, and queries against it.
-BLOCK, QUERY_BLOCK = 4096, 512
+#: Bounds of the samples that the index learns from, its documented parameters: of the table, and of each part of it.
+SAMPLE, PART_SAMPLE, GRAPH_K = 16_000, 4_096, 12
+#: Vectors of a leaf, wanted; parts that one network tells apart, at most. A table of up to PART_ROWS vectors is one leaf.
+PART_ROWS, MAX_PARTS = 200, 256
+#: Share of the true neighbours in the sample that the probes of held-out vectors of the sample reach.
+RECALL = 0.93
+#: Vectors in one task's block, and rows of queries against it.
+BLOCK, QUERY_BLOCK = 4096, 16_384
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def balanced_parts(graph: np.ndarray, parts: int, rounds: int = 12, slack: float
 
 @dataclass
 class Router:
-    """One hidden layer; log-probabilities of the parts."""
+    """One hidden layer; log-probabilities of the parts. Weights are in single precision, for a small broadcast."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -121,10 +125,64 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    @property
+    def parts(self) -> int:
+        return len(self.b2)
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        z = (np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2).astype(np.float64)
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    @classmethod
+    def single(cls, d: int) -> Router:
+        return cls(*(np.zeros(s, np.float32) + o for s, o in ((d, 0), (d, 1), ((d, 1), 0), (1, 0), ((1, 1), 0), (1, 0))))
+
+
+@dataclass
+class Tree:
+    """A router for the whole table and, where there are more leaves than it has parts, one for each part."""
+
+    top: Router
+    below: list[Router] = field(default_factory=list)
+    probes: int = 1
+
+    @property
+    def leaves(self) -> int:
+        return sum(r.parts for r in self.below) if self.below else self.top.parts
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        top = self.top.logs(x)
+        return np.hstack([top[:, [i]] + r.logs(x) for i, r in enumerate(self.below)]) if self.below else top
+
+    def _parts(self, x: np.ndarray, step: int = 256):
+        return (self.logs(x[a : a + step]) for a in range(0, len(x), step))
+
+    def file(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector: the most probable part, and in it the most probable one below."""
+        part = self.top.logs(x).argmax(1)
+        if not self.below:
+            return part.astype(np.int32)
+        out, first = np.zeros(len(x), np.int32), np.cumsum([0, *[r.parts for r in self.below]])
+        for p in np.unique(part):
+            at = part == p
+            out[at] = first[p] + self.below[p].logs(x[at]).argmax(1)
+        return out
+
+    def ask(self, x: np.ndarray) -> list[np.ndarray]:
+        """The leaves to be searched for each vector, the most probable first."""
+        return [row for z in self._parts(x) for row in np.argsort(-z, axis=1, kind="stable")[:, : self.probes].astype(np.int32)]
+
+    def tune(self, base: np.ndarray, test: np.ndarray, recall: float, k: int = 10) -> None:
+        """As many probes as reach that share of the test vectors' nearest among the base."""
+        filed, near = self.file(base), neighbours(base, test, k)
+        need = []
+        for a, z in zip(range(0, len(test), 256), self._parts(test)):
+            ranks = np.argsort(np.argsort(-z, axis=1, kind="stable"), axis=1, kind="stable")
+            need.append(np.take_along_axis(ranks, filed[near[a : a + 256]], 1).ravel())
+        need = np.sort(np.concatenate(need)) if need else np.zeros(1, int)
+        self.probes = int(min(self.leaves, need[min(len(need) - 1, int(np.ceil(recall * len(need))))] + 1))
 
 
 def train_router(x: np.ndarray, soft: np.ndarray, hidden: int = 128, epochs: int = 30, rate: float = 2e-3, seed: int = 9) -> Router:
@@ -151,89 +209,117 @@ def train_router(x: np.ndarray, soft: np.ndarray, hidden: int = 128, epochs: int
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad**2
                 p[k] -= step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return Router(mean, scale, *p, probes=1)
+    return Router(*(np.asarray(a, np.float32) for a in (mean, scale, *p)))
 
 
-def learn(sample: np.ndarray, parts: int, recall: float = RECALL, k: int = GRAPH_K, seed: int = 5) -> Router:
-    """sample (n, d) -> a router. A fifth of the sample is kept from the training and tells how many parts to probe."""
-    n, d = sample.shape if sample.ndim == 2 else (0, 1)
-    if parts <= 1 or n < 50:
-        return Router(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    order = np.random.default_rng(seed).permutation(n)
-    test, base = sample[order[: n // 5]], sample[order[n // 5 :]]
+def learn(base: np.ndarray, parts: int, k: int = GRAPH_K, seed: int = 5) -> Router:
+    """base (n, d) -> a router to so many parts; to a single one if there are too few vectors to tell them apart."""
+    n, d = base.shape if base.ndim == 2 else (0, 1)
+    parts = min(parts, n // 16)
+    if parts <= 1:
+        return Router.single(d)
     graph = neighbours(base, base, k, skip_self=True)
     part = balanced_parts(graph, parts, seed=seed)
-    soft = np.zeros((len(base), parts))
+    soft = np.zeros((n, parts))
     for col in range(graph.shape[1]):
-        np.add.at(soft, (np.arange(len(base)), part[graph[:, col]]), 0.5 / graph.shape[1])
-    soft[np.arange(len(base)), part] += 0.5
-    router = train_router(base, soft)
-    filed = router.logits(base).argmax(1)
-    near = neighbours(base, test, 10)
-    ranks = np.argsort(np.argsort(-router.logits(test), axis=1, kind="stable"), axis=1, kind="stable")
-    # The rank at which a query's probe list reaches each true neighbour.
-    need = np.take_along_axis(ranks, filed[near], 1).ravel()
-    router.probes = int(min(parts, np.searchsorted(np.cumsum(np.bincount(need, minlength=parts)) / len(need), recall) + 1))
-    return router
-
-
-def search(rows: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE, part_rows: int = PART_ROWS, recall: float = RECALL) -> DataFrame:
+        np.add.at(soft, (np.arange(n), part[graph[:, col]]), 0.5 / graph.shape[1])
+    soft[np.arange(n), part] += 0.5
+    return train_router(base, soft)
+
+
+def build(x: DataFrame, n: int, sample: int = SAMPLE, part_sample: int = PART_SAMPLE, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, recall: float = RECALL) -> Tree:
+    """x (vec_id, v), n rows -> the index. The sample has the rows with the least hash of their id; a fifth of it is kept
+    from the training and tells how many leaves to probe. The tree is at most max_parts + 1 networks."""
+    spark = x.sparkSession
+    h = F.xxhash64("vec_id", F.lit(5))
+    drawn = x.select("v", h.alias("h")).orderBy("h", "v").limit(sample)
+    flat = [np.array(r["v"]) for r in drawn.toLocalIterator()]
+    whole = np.stack(flat) if flat else np.zeros((0, 1))
+    test, base = whole[::5], whole[np.arange(len(whole)) % 5 != 0]
+    parts = int(min(max_parts, max(1, round(n / part_rows))))
+    tree = Tree(learn(base, parts))
+    more = int(min(max_parts, round(n / (tree.top.parts * part_rows))))
+    if tree.top.parts == max_parts and more > 1:
+        top = spark.sparkContext.broadcast(tree.top)
+
+        @F.pandas_udf("int")
+        def part_of(v: pd.Series) -> pd.Series:
+            return pd.Series(top.value.logs(np.stack(v.to_numpy())).argmax(1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            own = np.stack(rows.sort_values("h")["v"].to_numpy())
+            return pd.DataFrame({"part": rows["part"].iloc[:1], "router": [pickle.dumps(learn(own, more))]})
+
+        # Rows of a part by hash, so many on average: no part is ordered or held whole.
+        placed = materialise(x.select("v", part_of("v").alias("part"), F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(1 << 30)).alias("h")), "ann-parts")
+        share = placed.groupBy("part").agg(F.least(F.lit(1.0), F.lit(float(part_sample)) / F.count("*")).alias("share"))
+        some = placed.join(F.broadcast(share), "part").filter(F.col("h") < F.col("share") * (1 << 30)).select("part", "h", "v")
+        fitted = {r["part"]: pickle.loads(bytes(r["router"])) for r in some.groupBy("part").applyInPandas(fit, "part int, router binary").toLocalIterator()}
+        tree.below = [fitted.get(p) or Router.single(base.shape[1]) for p in range(tree.top.parts)]
+    if len(test) and len(base):
+        tree.tune(base, test, recall)
+    return tree
+
+
+def search(rows: DataFrame, every: int = 100, k: int = 10, **options) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by every.
 
     Nearness is the Euclidean distance in double precision on the vectors as they are; ties go to the smaller vec_id, and a
     query is no candidate of itself. Rows that usable() drops neither ask nor answer. Rows that repeat an id are
-    candidates each; several queries with one id are one (the least vector). Large parts, such as many copies of a vector,
-    are searched in blocks. An empty table gives an empty result; other columns are ignored.
+    candidates each; several queries with one id are one (the least vector). Leaves are searched some at a time, and large
+    ones, such as many copies of a vector, in blocks. Options are those of build(). An empty table gives an empty result;
+    other columns are ignored.
     """
     spark = rows.sparkSession
     x = materialise(usable(rows), "ann-vectors")
     n = x.count()
-    parts = int(min(MAX_PARTS, max(1, round(n / part_rows))))
-    drawn = x.select("v", F.xxhash64("vec_id", F.lit(5)).alias("h")).orderBy("h").limit(sample) if n > sample else x.select("v", F.xxhash64("vec_id", F.lit(5)).alias("h"))
-    flat = [np.array(r["v"]) for r in drawn.select("h", "v").orderBy("h").toLocalIterator()]
-    router = learn(np.stack(flat) if flat else np.zeros((0, 1)), parts, recall)
-    parts = len(router.b2)
-    shared = spark.sparkContext.broadcast(router)
+    tree = build(x, n, **options)
+    shared = spark.sparkContext.broadcast(tree)
 
     @F.pandas_udf("int")
     def file_under(v: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.logits(np.stack(v.to_numpy())).argmax(1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+        return pd.Series(shared.value.file(np.stack(v.to_numpy())) if len(v) else np.zeros(0, np.int32))
 
     @F.pandas_udf("array<int>")
     def ask(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        z = shared.value.logits(np.stack(v.to_numpy()))
-        return pd.Series(list(np.argsort(-z, axis=1, kind="stable")[:, : shared.value.probes].astype(np.int32)))
+        return pd.Series(shared.value.ask(np.stack(v.to_numpy())) if len(v) else [], dtype=object)
 
-    filed = materialise(x.select("vec_id", "v", file_under("v").alias("part")), "ann-filed")
+    # Leaves go to tasks in groups of about a block of vectors, so a query has one list of candidates for each group.
+    groups = max(1, min(tree.leaves, -(-n // BLOCK)))
+    group = F.pmod(F.col("leaf"), F.lit(groups)).cast("int").alias("g")
+    filed = materialise(x.select("vec_id", "v", file_under("v").alias("leaf")).select("*", group), "ann-filed")
     queries = filed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialise(queries.select("vec_id", "v", F.explode(ask("v")).alias("part")), "ann-asked")
-    # Counts by part, a row each, say into how many blocks a part's vectors and queries go.
-    sizes = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = sizes.join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")), "part")
+    asked = materialise(queries.select("vec_id", "v", F.explode(ask("v")).alias("leaf")).select("*", group).groupBy("g", "vec_id", "v").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "ann-asked")
+    # Counts by group, a row each, say into how many blocks a group's vectors and queries go.
+    sizes = filed.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.join(asked.groupBy("g").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")), "g")
     block = lambda name, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(name)).cast("int")
     every_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = filed.join(F.broadcast(sizes), "part").select("part", block("blocks", 1).alias("b"), every_of("query_blocks").alias("q"), "vec_id", "v")
-    right = asked.join(F.broadcast(sizes), "part").select("part", every_of("blocks").alias("b"), block("query_blocks", 2).alias("q"), "vec_id", "v")
+    left = filed.join(F.broadcast(sizes), "g").select("g", block("blocks", 1).alias("b"), every_of("query_blocks").alias("q"), "leaf", "vec_id", "v")
+    right = asked.join(F.broadcast(sizes), "g").select("g", every_of("blocks").alias("b"), block("query_blocks", 2).alias("q"), "leaves", "vec_id", "v")
 
     def nearest(base: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(base) and len(qs):
-            ids, b = base["vec_id"].to_numpy(), np.stack(base["v"].to_numpy())
+            base = base.sort_values(["leaf", "vec_id"])
+            leaf, ids, b = base["leaf"].to_numpy(), base["vec_id"].to_numpy(), np.stack(base["v"].to_numpy())
             norms = (b**2).sum(1)
-            for qid, v in zip(qs["vec_id"].to_numpy(), qs["v"], strict=True):
+            for qid, v, leaves in zip(qs["vec_id"].to_numpy(), qs["v"], qs["leaves"], strict=True):
                 v = np.asarray(v)
-                rough = norms - 2 * (b @ v) + v @ v
-                rough[ids == qid] = np.inf
+                spans = zip(np.searchsorted(leaf, leaves).tolist(), np.searchsorted(leaf, leaves, "right").tolist(), strict=True)
+                at = np.concatenate([np.arange(a, z) for a, z in spans])
+                at = at[ids[at] != qid]
+                if not len(at):
+                    continue
+                rough = norms[at] - 2 * (b[at] @ v) + v @ v
                 # Exact distances for all that rounding might bring among the nearest.
-                bound = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1] if len(rough) else 0.0
-                at = np.flatnonzero((rough <= bound + 1e-9 * (np.abs(norms) + v @ v + 1e-300)) & (ids != qid))
+                last = min(k, len(at)) - 1
+                at = at[rough <= np.partition(rough, last)[last] + 1e-9 * (norms[at] + v @ v + 1e-300)]
                 d = np.sqrt(((b[at] - v) ** 2).sum(1))
                 best = np.lexsort((ids[at], d))[:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][best], "score": d[best]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = left.groupBy("part", "b", "q").cogroup(right.groupBy("part", "b", "q")).applyInPandas(nearest, "query_id long, vec_id long, score double")
+    found = left.groupBy("g", "b", "q").cogroup(right.groupBy("g", "b", "q")).applyInPandas(nearest, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

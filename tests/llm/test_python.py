@@ -97,7 +97,8 @@ def test_nnpu_finds_what_is_hidden():
 # ---- nearest neighbours
 
 
-def test_ann(spark):
+@pytest.mark.parametrize("max_parts", [256, 4])
+def test_ann(spark, max_parts):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (30, 16))
     v = centres[rng.integers(0, 30, 4000)] + rng.normal(0, 0.3, (4000, 16))
@@ -106,7 +107,7 @@ def test_ann(spark):
     rows += [(5000, None, 0), (5100, [0.0] * 16, 0), (5200, [float("nan")] + [1.0] * 15, 0), (5300, [1.0, None] + [1.0] * 14, 0), (5400, [float("inf")] * 16, 0), (5500, [1.0] * 3, 0), (5600, [], 0), (None, [1.0] * 16, 0)]
     df = with_clashes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     got = defaultdict(list)
-    for r in ann.search(df, every=20, part_rows=300).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, every=20, part_rows=300, max_parts=max_parts, recall=0.985).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 4000, 20))
     hits = 0
@@ -120,6 +121,34 @@ def test_ann(spark):
     assert [i for _, i, _ in got[0]] == list(range(1000, 1010))
 
 
+def test_ann_routes_on_random_vectors(spark):
+    """Vectors without any structure, the hardest case: recall by brute force, and not everything is searched."""
+    v = np.random.default_rng(4).normal(0, 1, (6000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(df, every=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    near = ann.neighbours(v, v[::20], 11)[:, 1:]
+    assert np.mean([len(got[20 * i] & set(row.tolist())) for i, row in enumerate(near)]) >= 9
+    x = ann.usable(df)
+    tree = ann.build(x, 6000)
+    leaf = tree.file(v)
+    sizes = np.bincount(leaf, minlength=tree.leaves)
+    share = np.mean([sizes[a].sum() for a in tree.ask(v[::20])]) / 6000
+    print("share searched", share)
+    assert tree.leaves == 30 and share < 0.6
+    # A second level, where one network has too few parts.
+    deep = ann.build(x, 6000, max_parts=6)
+    assert deep.leaves == 30 and len(deep.below) == 6 and len(np.unique(deep.file(v))) > 20 and deep.probes < 27
+
+
+def test_ann_repeated_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 2.0]), (7, [1.0, 0.1]), (7, [1.0, 0.1]), (8, [5.0, 5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    d = lambda a: math.sqrt((a[0] - 0.0) ** 2 + (a[1] - 2.0) ** 2)
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(100, 7, d([1.0, 0.1])), (100, 7, d([1.0, 0.1])), (100, 8, d([5.0, 5.0]))]
+
+
 def test_ann_small_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], schema)
@@ -346,12 +375,13 @@ def test_chunks_are_exact():
     assert all(e.decode(a).decode() == (t or "") == e.tokenizer.decode(a.tolist(), skip_special_tokens=False) for a, t in zip(got, texts, strict=True))
 
 
-@pytest.mark.parametrize("words", ["привет мир как дела ", "日本語の文章です。", "der Bär "])
-def test_chunks_are_reused_in_any_script(words):
+@pytest.mark.parametrize(("letters", "gap"), [((0x430, 0x44F), " "), ((0x4E00, 0x6000), "。"), ((0x61, 0x7A), " ")])
+def test_chunks_are_reused_in_any_script(letters, gap):
     r = random.Random(8)
-    shared = "".join(words[: r.randint(3, len(words))] + words for _ in range(3000))
+    words = lambda n: "".join("".join(chr(r.randint(*letters)) for _ in range(r.randint(1, 9))) + gap for _ in range(n))
+    shared = words(6000)
     e = bpe_chunks.ChunkEncoder(BYTE_BPE)
-    texts = [f"{i} {i} {words * i}{shared}{words * (7 - i)}" for i in range(4)]
+    texts = [words(9 * i) + shared + words(7 - i) for i in range(4)]
     assert all(np.array_equal(a, b) for a, b in zip(e.encode_batch(texts), e.encode_texts(texts), strict=True))
     # All but what is before and after the passage is reused, and joins are short.
     assert e.reused > 2.5 * len(shared.encode()) and e.joined < 0.1 * e.reused
