@@ -18,9 +18,11 @@ MAX_REPEATS = 3
 BITS, LEVEL_BITS = 60, 12
 
 
-def hash60(doc_id: Column, seed: str = "mix") -> Column:
-    """60 bits of the MD5 of seed:doc_id; rows of one id share it and are taken together."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash60(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """60 bits of the MD5 of seed:doc_id:MD5 of the text (null: empty). Rows that repeat an id, or have none, are told apart by
+    their texts; only rows that are equal in both share a hash and are taken together."""
+    content = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), content).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -90,10 +92,10 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """documents -> (doc_id, source, size, source_size, target, copies, taken), one row per row of the input.
 
     Texts are read once, for their sizes. Null or empty texts have size 0 and null sources are a source of their own, the
-    last. Rows that share an id share its fate. An empty table gives an empty result. Other columns are ignored.
+    last. Rows that share an id and a text share their fate. An empty table gives an empty result. Other columns are ignored.
     """
     base = columns_like(docs, {"doc_id": "long", "source": "string", "text": "string"})
-    rows = base.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), seed).alias("h"))
+    rows = base.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), F.col("text"), seed).alias("h"))
     rows = materialise(rows, "mix-rows")
     plan = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats))
     plan = plan.withColumnRenamed("source", "s")
@@ -110,9 +112,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     """
     n, h, s = own_name(docs, "mix_n"), own_name(docs, "mix_h"), own_name(docs, "mix_s")
     base = columns_like(docs, {"doc_id": "long", "source": "string", "text": "string"})
-    rows = materialise(base.select("source", F.size(words_of(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), seed).alias("h")), "mix-rows")
+    rows = materialise(base.select("source", F.size(words_of(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), F.col("text"), seed).alias("h")), "mix-rows")
     plan = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats))
     plan = plan.select(F.col("source").alias(s), F.col("copies").alias(n), F.col("threshold").alias(h))
     x = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col(s)))
-    x = x.withColumn(n, F.col(n) + F.when(hash60(F.col("doc_id"), seed) <= F.col(h), 1).otherwise(0)).filter(F.col(n) > 0)
+    x = x.withColumn(n, F.col(n) + F.when(hash60(F.col("doc_id"), F.col("text"), seed) <= F.col(h), 1).otherwise(0)).filter(F.col(n) > 0)
     return x.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

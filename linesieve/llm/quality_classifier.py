@@ -7,6 +7,7 @@ becomes a probability by isotonic regression on the labelled scores, counted in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,11 +71,11 @@ def with_statistics(docs: DataFrame, columns: list[str], text: str = "text", nam
 
 
 def labelled(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """rows with y, for ids outside the held-out fold. An id with several labels counts by their mean, and not at a half;
+    """(stats, y) of rows, for ids outside the held-out fold. An id with several labels counts by their mean, and not at a half;
     null ids and labels teach nothing."""
     y = columns_like(labels, {"doc_id": "long", label: "double"}).filter(f"doc_id IS NOT NULL AND {label} IS NOT NULL")
     y = y.filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.avg(label).alias("y")).filter("y != 0.5")
-    return rows.join(y.withColumn("y", (F.col("y") > 0.5).cast("double")), "doc_id")
+    return materialise(rows.join(y.withColumn("y", (F.col("y") > 0.5).cast("double")), "doc_id").select("stats", "y"), "quality-labelled")
 
 
 def _sum_by_partition(rows: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
@@ -95,7 +96,8 @@ def _sum_by_partition(rows: DataFrame, make, shape: tuple[int, ...]) -> np.ndarr
         yield pd.DataFrame({"k": [0], "v": [total.tobytes()]})
 
     sums = rows.select("stats", "y").mapInPandas(part, "k int, v binary")
-    sums = sums.repartition(8).mapInPandas(add, "k int, v binary")
+    # A square root of the partitions at a time, in tasks and then here.
+    sums = sums.repartition(math.ceil(math.sqrt(max(1, rows.rdd.getNumPartitions())))).mapInPandas(add, "k int, v binary")
     total = np.zeros(shape)
     for r in sums.toLocalIterator():
         total += np.frombuffer(r["v"]).reshape(shape)

@@ -91,6 +91,7 @@ def stats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None
     return six.select(*[F.col(f"`{c}`") for c in cols], *stat(*first, "n_echo"), F.when(F.col(d).isNotNull(), covered).otherwise(0).cast("long").alias(names["n_repeat_words"]))
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = ("n_words", "word_chars", "n_symbols", "n_symbol_runs", "n_lines", "n_dup_lines", "n_end_lines", "n_distinct", "n_echo", "n_repeat_words")
 
 
@@ -182,7 +183,7 @@ def counted(table: DataFrame, cast: list[Column]) -> list[tuple[tuple[int, ...],
 
 
 def score(docs: DataFrame, keep_at: float = KEEP_AT, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: columns, the statistics, base_failed, p_good (the posterior) and kept.
+    """One row per row of docs: columns, n_words, the base statistics, base_failed, kept, p_good (the posterior), the others.
 
     kept is false where base_failed; otherwise p_good >= keep_at. Repeated rows get equal results, null and empty texts
     fail the base rules, an empty table gives an empty result.
@@ -194,7 +195,7 @@ def score(docs: DataFrame, keep_at: float = KEEP_AT, columns: Sequence[str] = ("
     model = fit(counted(table, cast))
     p = posterior(model, cast)
     failed = base_failed(names)
-    return table.select(*columns, *STATS, failed.alias("base_failed"), p.alias("p_good"), (~failed & (p >= keep_at)).alias("kept"))
+    return table.select(*columns, *BASE, failed.alias("base_failed"), (~failed & (p >= keep_at)).alias("kept"), p.alias("p_good"), *[n for n in STATS if n not in BASE])
 
 
 def filter_documents(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:

@@ -22,14 +22,17 @@ def tokenizer(name: str) -> str:
 
 
 def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from two thirds of the ids."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth id."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all conversations and a planted one, read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -37,30 +40,37 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document."""
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from four fifths of the ids."""
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets and checksums of the token ids of every document, from the files."""
     return token_orc.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -88,7 +98,7 @@ FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN b ON g.conv_
 OP10_SQL = r"""
 WITH r AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
 w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 3 * source_size AS cap FROM s),

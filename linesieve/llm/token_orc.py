@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from linesieve.llm.pieces import PieceStore
 
 END_ID = 1
 SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
+MANIFEST = "part int, first_doc long, last_doc long, docs long, tokens long, start long"
 OPTIONS = {"orc.compress": "LZ4", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
@@ -129,7 +131,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
     base = columns_like(docs, {"doc_id": "long", "text": "string"})
     # The row's place among equal ids: it splits an id that is repeated very often, and needs no look at the text.
     keyed = base.select("doc_id", F.monotonically_increasing_id().alias("tie"), "text")
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # As many parts as the input has splits at least: they grow in number with it, not in size.
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
@@ -161,12 +164,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents, or of the given ids: then parts are pruned by the manifest's ranges
-    and stripes and row groups by ORC's indexes and Bloom filters."""
+    """(doc_id, start, n_tokens, ids) of all documents, or of the given ids.
+
+    Given ids, the manifest's ranges say in which parts they may be, and only files of those are read past their footers;
+    within them stripes and row groups go by ORC's indexes and Bloom filters. Ids that aren't there have no rows.
+    """
     data = spark.read.schema(SCHEMA).orc(f"{path}/data")
-    parts = spark.read.schema("part int, first_doc long, last_doc long, docs long, tokens long, start long").orc(f"{path}/manifest").select("part", "start")
+    parts = spark.read.schema(MANIFEST).orc(f"{path}/manifest")
     if doc_ids is not None:
-        data = data.filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
+        ids = sorted({int(x) for x in doc_ids})
+        within = [(r["part"], r["first_doc"], r["last_doc"]) for r in parts.filter("last_doc IS NOT NULL").select("part", "first_doc", "last_doc").toLocalIterator()]
+        some = [p for p, a, z in within if bisect_left(ids, a) < bisect_right(ids, z)]
+        data = data.filter(F.col("part").isin(some) & F.col("doc_id").isin(ids))
+    parts = parts.select("part", "start")
     # A row per part, of which a corpus has at most as many as its writer had tasks.
     x = data.join(F.broadcast(parts), "part")
     return x.select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids")
@@ -186,6 +196,8 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+    """documents -> (doc_id, start, n_tokens, ids_crc32), one row per row, written to path and read back; nulls, repeated ids
+    and empty tables as in write(). Other columns are ignored."""
     path = path or scratch_path(docs.sparkSession, "token-orc")
     write(docs, path, tokenizer, end_id)
     return digests(read(docs.sparkSession, path))

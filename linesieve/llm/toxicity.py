@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns from ids outside the held-out fold. The class prior is the share of label 1 among the labelled ids there.
 
     Two passes over a bounded sample: document frequencies by hash slot pick the features that tell most, then each sampled
-    text becomes the numbers of those features. An id with several labels counts by their mean. Without any toxic example
+    text becomes the numbers of those features. An id with several labels counts by their mean, one with several rows by the
+    least of their texts. Without any toxic example
     there is nothing to learn, and every text scores the bias, a half percent.
     """
     base = columns_like(docs, {"doc_id": "long", "text": "string"}).filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
@@ -148,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for f in frames:
             yield pd.DataFrame({"pos": f["pos"], "unl": f["unl"], "slots": [np.fromiter(word_slots(t, cache), np.int32) for t in f["text"]]})
 
-    sample = materialise(base.join(F.broadcast(wanted), "doc_id").select("pos", "unl", "text").mapInPandas(slots, "pos int, unl int, slots array<int>"), "pu-sample")
+    # One text for each id, the least, so that the sample has no more rows than wanted.
+    texts = base.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.first("pos").alias("pos"), F.first("unl").alias("unl"), F.min("text").alias("text"))
+    sample = materialise(texts.select("pos", "unl", "text").mapInPandas(slots, "pos int, unl int, slots array<int>"), "pu-sample")
     # A text in both groups counts in both: pos 1 says confirmed, unl 0 says drawn as unlabelled.
     freq = sample.select("pos", (F.col("unl") == 0).cast("int").alias("u"), F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("pos").alias("p"), F.sum("u").alias("u"))
     n_p, n_u = sample.agg(F.sum("pos"), F.sum((F.col("unl") == 0).cast("int"))).first()

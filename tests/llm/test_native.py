@@ -108,6 +108,16 @@ def test_mixing(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +Counter({k: sum(r["copies"] for r in got if r["doc_id"] == k) for k in {r["doc_id"] for r in got}})
 
 
+def test_mixing_divides_rows_without_ids(spark):
+    """A third of a source under one id, or none, is no single step."""
+    rows = [(None, f"w {i} " * 5, "en", "a", 0) for i in range(300)] + [(7, f"v {i} " * 5, "en", "a", 0) for i in range(300)] + [(i, "x " * 10, "en", "b", 0) for i in range(1000, 1100)]
+    taken = defaultdict(int)
+    got = mixing.plan_mix(spark.createDataFrame(rows, DOCS)).collect()
+    for r in got:
+        taken[r["source"], r["target"]] += r["taken"]
+    assert all(abs(n - t) <= 10 for (_, t), n in taken.items())
+
+
 def test_mixing_is_nested(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "en", "a", 0) for i in range(500)], DOCS)
     take = lambda share: {r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs, share=share).collect()}

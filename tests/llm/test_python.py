@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -86,6 +87,50 @@ def test_isotonic():
     assert v.tolist() == [0, 0.5, 0.5, 1]
 
 
+def test_nnpu_against_a_dense_loop():
+    """One step of the sparse fit moves the way that differences of the plain risk say."""
+    rng = np.random.default_rng(6)
+    f, prior, decay = 12, 0.2, 0.01
+    x_p, x_u = ([np.flatnonzero(rng.random(f) < 0.3) for _ in range(n)] for n in (30, 80))
+
+    def risk(w, b):
+        z = lambda rows: np.array([sum(w[j] for j in r) + b for r in rows])
+        loss = lambda s: np.log1p(np.exp(-s))
+        negative = loss(-z(x_u)).mean() - prior * loss(-z(x_p)).mean()
+        return prior * loss(z(x_p)).mean() + max(0.0, negative) + decay / 2 * (w**2).sum()
+
+    w, b = toxicity.nnpu(x_p, x_u, f, prior, epochs=400, rate=0.05, decay=decay)
+    here = risk(w, b)
+    for _ in range(200):  # nowhere near is the risk lower
+        assert risk(w + rng.normal(0, 0.05, f), b + rng.normal(0, 0.05)) > here - 1e-4
+    start = risk(np.zeros(f), math.log(prior / (1 - prior)))
+    assert here < start
+    # One epoch: Adam's first step is the sign of the gradient.
+    w1, b1 = toxicity.nnpu(x_p, x_u, f, prior, epochs=1, rate=1e-3, decay=decay)
+    b0 = math.log(prior / (1 - prior))
+    grad = np.array([(risk(np.eye(f)[j] * 1e-5, b0) - risk(np.eye(f)[j] * -1e-5, b0)) / 2e-5 for j in range(f)])
+    assert all(np.sign(w1[j]) == -np.sign(grad[j]) for j in range(f) if abs(grad[j]) > 1e-4)
+
+
+def test_quality_against_dense_equations(spark):
+    """Sums by partition give what one dense system does, and the features come near the exact kernel."""
+    rng = np.random.default_rng(7)
+    d, n = len(quality_classifier.NAMES), 300
+    x = rng.normal(0, 1, (n, d))
+    y = (np.sin(x[:, 0]) + 0.5 * x[:, 1] > 0).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "stats array<double>, y double").repartition(5)
+    m = quality_classifier.fit(rows, features=256, gamma=0.05, ridge=1e-3)
+    z = m.lift(x)
+    beta = np.linalg.solve(z.T @ z + 1e-3 * n * np.eye(257) / 256, z.T @ y)
+    assert np.allclose(beta, m.beta, atol=1e-6)
+    wide = quality_classifier.fit(rows, features=4096, gamma=0.05)
+    s = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    kernel = np.exp(-0.05 * ((s[:, None] - s[None]) ** 2).sum(2))
+    assert np.abs(wide.lift(x)[:, :-1] @ wide.lift(x)[:, :-1].T - kernel).max() < 0.15
+    order = np.argsort(m.ridge(x))
+    assert (np.diff(m.score(x)[order]) >= -1e-12).all()
+
+
 def test_nnpu_finds_what_is_hidden():
     rng = np.random.default_rng(0)
     row = lambda toxic: np.unique(np.append(rng.integers(2, 40, 5), [0] if toxic else [1]))
@@ -349,7 +394,12 @@ def test_token_orc(spark):
     assert ordered[0] is None and ordered[1:] == sorted(ordered[1:]) and len(ordered) == df.count()
     some = token_orc.read(spark, path, [3, 10_003, 77_777])
     assert {r["doc_id"] for r in some.collect()} == {3, 10_003}
-    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().executedPlan().toString()
+    parts = spark.read.orc(f"{path}/manifest")
+    # Only parts whose ranges hold an id are asked for.
+    asked = set(map(int, re.search(r"In\(part, \[([\d,]*)\]|EqualTo\(part,(\d+)\)", some._jdf.queryExecution().executedPlan().toString())[0].replace("In(part, [", "").replace("EqualTo(part,", "").strip("])").split(",")))
+    assert asked == {r["part"] for r in parts.collect() if any(r["first_doc"] is not None and r["first_doc"] <= i <= r["last_doc"] for i in (3, 10_003, 77_777))}
+    assert token_orc.read(spark, path, [77_777]).count() == 0 and token_orc.read(spark, path, []).count() == 0
+    assert "In(doc_id" in some._jdf.queryExecution().executedPlan().toString()
     assert token_orc.round_trip(empty_docs(spark), WORD_BPE).count() == 0
 
 
