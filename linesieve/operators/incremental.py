@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.operators.index import Index, write_store
+from linesieve.operators.index import Index, write_postings, write_store
 from linesieve.sources.corpus import Corpus
 
 
@@ -56,7 +56,7 @@ def update(index: Index, corpus: Corpus) -> UpdateStats:
 
 def replace_delta(index: Index, docs: DataFrame, deleted: DataFrame) -> None:
     run = uuid.uuid4().hex[:12]
-    write_store(docs.select("doc_id", "path", "relpath", "text", "length", "mtime"), f"{index.path}/delta-{run}", bool(index.meta["case_insensitive"]), max(1, int(index.meta["buckets"])))
+    write_store(docs.select("doc_id", "path", "relpath", "text", "length", "mtime"), f"{index.path}/delta-{run}", bool(index.meta["case_insensitive"]), index.meta["slots"])
     deleted.distinct().write.parquet(f"{index.path}/deleted-{run}")
     index._commit(delta=f"delta-{run}", deleted=f"deleted-{run}")
 
@@ -72,17 +72,13 @@ def apply_changes(index: Index, changes: DataFrame) -> None:
         paths = last.select("path")
         fresh = last.filter("NOT removed").select("doc_id", "path", "relpath", "text", "length", "mtime")
         store, ci = f"{index.path}/delta-{run}", bool(index.meta["case_insensitive"])
-        write_store(fresh, store, ci, max(1, int(index.meta["buckets"])))
+        write_store(fresh, store, ci, index.meta["slots"])
         old = index.delta
         if old.path:
             stale = old.table("docs").join(paths, "path", "left_semi").select("doc_id")
             old.table("docs").join(paths, "path", "left_anti").select("doc_id", "path", "relpath", "length", "mtime").write.mode("append").parquet(f"{store}/docs")
             for mark in ("", "_ci") if ci else ("",):
-                kept = old.table(f"postings{mark}").join(stale, "doc_id", "left_anti").select("trigram", "doc_id", "line_no", "byte_offset")
-                kept.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.mode("append").parquet(f"{store}/postings{mark}")
-                pairs = old.table(f"trigram_docs{mark}").select("trigram", "bucket", F.explode("docs").alias("doc_id")).join(stale, "doc_id", "left_anti")
-                sets = pairs.groupBy("trigram", "bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
-                sets.select("trigram", "bucket", "docs", F.size("docs").alias("n")).write.mode("append").parquet(f"{store}/trigram_docs{mark}")
+                write_postings(old.table(f"postings{mark}").join(stale, "doc_id", "left_anti"), f"{store}/postings{mark}", index.meta["slots"])
         gone = index.main.table("docs").join(paths, "path", "left_semi").select("doc_id").unionByName(index.deleted()).distinct()
         gone.write.parquet(f"{index.path}/deleted-{run}")
         index._commit(delta=f"delta-{run}", deleted=f"deleted-{run}")

@@ -1,12 +1,14 @@
 """A trigram index in Parquet tables. It only ever narrows a search: indexed and full answers are equal.
 
-Layout of an index folder: CURRENT names the version in use; each version has meta/ (one row), main's name and delta's name;
-a store (main or delta) has docs/, postings/, trigram_docs/ and, with case-insensitive indexes, postings_ci/ and
-trigram_docs_ci/; deleted/ lists documents of main that no longer count. New data are written beside the old and taken into
-use by one small file, so a lost executor or driver leaves the index as it was.
-
-trigram_docs has the documents of a trigram in rows of bounded size, by bucket of document ids. postings is sorted by
-trigram and document over ranges, so a look-up reads few row groups, and a very common trigram spans many files.
+Layout of an index folder: CURRENT names the version in use and holds its meta data, main's name and delta's name; a store
+(main or delta) has docs/, postings/ and, with case-insensitive indexes, postings_ci/; deleted/ lists documents of main that
+no longer count. New data are written beside the old and taken into use by one small file, so a lost executor or driver
+leaves the index as it was.
+
+postings has one row for each trigram of a document, with the lines that hold it: what is asked of documents reads two
+columns of it. Trigrams are numbers, three characters of 21 bits. Rows are dealt by a hash of the trigram and of the
+document, so that a very common trigram is in many tasks, and lie in folders by that hash of the trigram, in order: a
+look-up opens the folders of its trigrams only and reads few row groups in them.
 """
 
 from __future__ import annotations
@@ -14,53 +16,128 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesieve.functions import regex
 from linesieve.functions.casefold import fold_column
-from linesieve.operators.lines import explode_lines, line_array, with_offsets
+from linesieve.operators.lines import line_array
 from linesieve.operators.search import lines_of, shown
 from linesieve.plans.planner import buffer_is_lines, plan
+from linesieve.plans.storage import scratch_path
 from linesieve.sources.corpus import Corpus
 from linesieve.spec import SearchSpec
 
-VERSION = 1
-BUCKET_DOCS = 4096
+VERSION = 2
+#: Documents of main for each folder of postings, and folders at most.
+SLOT_DOCS, MAX_SLOTS = 512, 256
 #: Up to this share of the documents, or this number, documents are read whole rather than by candidate lines.
 DOCS_SHARE, DOCS_LEAST, DENSE = 0.007, 500, 10
-TABLES = {"docs": "doc_id long, path string, relpath string, length long, mtime timestamp", "postings": "trigram string, doc_id long, line_no int, byte_offset long", "trigram_docs": "trigram string, bucket long, docs array<long>, n int"}
-
-
-def trigrams(line: Column) -> Column:
-    """The distinct three-character strings of a line; character trigrams serve as byte trigrams do, as every text that
-    holds another holds its trigrams."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{3}))"), 1))
+#: A look-up asks for so many of a term's trigrams, the rarest; what is found is verified in any case.
+RAREST = 4
+#: Candidates that are broadcast, of a few bytes each, and that are named in the scan's own filter, at most.
+BROADCAST_IDS, SCAN_IDS = 1_000_000, 1000
+TABLES = {"docs": "doc_id long, path string, relpath string, length long, mtime timestamp", "postings": "gram long, doc_id long, lines array<int>, offsets array<long>, slot int"}
+#: Postings of one batch that leaves a worker.
+_BATCH = 1 << 18
+
+
+def gram(trigram: str) -> int:
+    """A trigram's number."""
+    a, b, c = map(ord, trigram)
+    return a << 42 | b << 21 | c
+
+
+def trigram_of(number: Column) -> Column:
+    """The three characters of a number; character trigrams serve as byte trigrams do, as every text that holds another
+    holds its trigrams."""
+    chars = [F.lpad(F.hex(F.shiftright(number, k).bitwiseAND((1 << 21) - 1)), 8, "0") for k in (42, 21, 0)]
+    return F.decode(F.unhex(F.concat(*chars)), "UTF-32")
+
+
+def grams_of(text: str, shown: str | None, only: np.ndarray | None, positions: bool) -> tuple[np.ndarray, ...]:
+    """The distinct trigrams within the lines of a text, in order; with positions also where the lines of each begin among the
+    lines and the offsets that come with it. Offsets are those of shown, which has a character for each of text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    empty = np.zeros(0, np.int64)
+    if len(c) < 3:
+        return empty, empty, empty, empty
+    end = c == 10
+    key = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    inside = ~(end[:-2] | end[1:-1] | end[2:])
+    if only is not None:
+        inside &= np.isin(key, only)
+    key = key[inside]
+    if not positions:
+        return np.unique(key), empty, empty, empty
+    line = np.cumsum(end)[:-2][inside]
+    order = np.argsort(key, kind="stable")
+    key, line = key[order], line[order]
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    fresh = first | np.append(True, line[1:] != line[:-1])[: len(key)]
+    key, line, first = key[fresh], line[fresh], first[fresh]
+    c = c if shown is None else np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+    begins = np.append(0, np.cumsum(size)[end])
+    return key[first], np.flatnonzero(first), line + 1, begins[line]
+
+
+def _extract(docs: DataFrame, folded: bool, only: list[str] | None, positions: bool) -> DataFrame:
+    """docs (doc_id, text) -> gram, doc_id and, with positions, lines and offsets. One pass over the texts, no shuffle."""
+    wanted = None if only is None else np.array(sorted(map(gram, only)), dtype=np.int64)
+    schema = "gram long, doc_id long" + (", lines array<int>, offsets array<long>" if positions else "")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put() -> pa.RecordBatch:
+            ids = np.repeat(np.array([x[0] for x in held], dtype=np.int64), [len(x[1]) for x in held])
+            columns = {"gram": pa.array(np.concatenate([x[1] for x in held])), "doc_id": pa.array(ids)}
+            if positions:
+                lines, offsets = (np.concatenate([x[k] for x in held]) for k in (3, 4))
+                base = np.cumsum([0, *[len(x[3]) for x in held]])
+                ends = pa.array(np.append(np.concatenate([x[2] + b for x, b in zip(held, base)]), base[-1]).astype(np.int32))
+                columns |= {"lines": pa.ListArray.from_arrays(ends, pa.array(lines.astype(np.int32))), "offsets": pa.ListArray.from_arrays(ends, pa.array(offsets.astype(np.int64)))}
+            return pa.RecordBatch.from_pydict(columns)
+
+        held, size = [], 0
+        for b in batches:
+            for i, text, seen in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("shown"), strict=True):
+                found = grams_of(text.as_py(), seen.as_py(), wanted, positions)
+                if len(found[0]):
+                    held.append((i, *found))
+                    size += len(found[2]) if positions else len(found[0])
+                if size >= _BATCH:
+                    yield put()
+                    held, size = [], 0
+        if held:
+            yield put()
+
+    texts = docs.filter("text IS NOT NULL")
+    text = F.col("text")
+    x = texts.select("doc_id", (fold_column(text) if folded else text).alias("text"), (text if folded and positions else F.lit(None).cast("string")).alias("shown"))
+    return x.mapInArrow(make, schema)
 
 
 def postings(docs: DataFrame, folded: bool = False, only: list[str] | None = None) -> DataFrame:
-    """docs (doc_id, text) -> trigram, doc_id, line_no, byte_offset: one row per trigram and line. Offsets are of the text as
-    it is. only: no other trigrams are made into rows."""
-    lines = with_offsets(explode_lines(docs.select("doc_id", "text")))
-    grams = trigrams(fold_column(F.col("line")) if folded else F.col("line"))
-    if only is not None:
-        grams = F.array_intersect(grams, F.array(*[F.lit(t) for t in only]))
-    return lines.select(F.explode(grams).alias("trigram"), "doc_id", "line_no", "byte_offset")
+    """docs (doc_id, text) -> gram, doc_id, lines, offsets: one row per trigram and document. Offsets are of the text as it
+    is. only: no other trigrams are made into rows."""
+    return _extract(docs, folded, only, True)
 
 
-def document_trigrams(docs: DataFrame, folded: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> trigram, doc_id: each once. Made within the document's row; no shuffle."""
-    text = fold_column(F.col("text")) if folded else F.col("text")
-    grams = F.array_distinct(F.flatten(F.transform(line_array(text), lambda x: F.regexp_extract_all(x, F.lit(r"(?s)(?=(.{3}))"), 1))))
-    return docs.select("doc_id", F.explode(grams).alias("trigram")).select("trigram", "doc_id")
+def document_trigrams(docs: DataFrame, folded: bool = False, only: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text) -> gram, doc_id: each once."""
+    return _extract(docs, folded, only, False)
 
 
 def doc_frequency(docs: DataFrame, folded: bool = False) -> DataFrame:
-    return document_trigrams(docs, folded).groupBy("trigram").agg(F.count("*").alias("df"))
+    """trigram, df."""
+    return document_trigrams(docs, folded).groupBy("gram").agg(F.count("*").alias("df")).select(trigram_of(F.col("gram")).alias("trigram"), "df")
 
 
 def terms_of(spec: SearchSpec, folded: bool) -> list[frozenset[str]] | None:
@@ -68,25 +145,34 @@ def terms_of(spec: SearchSpec, folded: bool) -> list[frozenset[str]] | None:
 
 
 def term_table(spark: SparkSession, terms: list[frozenset[str]]) -> DataFrame:
-    """alt, trigram, need: a few rows that come from the pattern."""
-    rows = [(i, t, len(term)) for i, term in enumerate(terms) for t in sorted(term)]
-    return spark.createDataFrame(rows, "alt int, trigram string, need int")
+    """alt, gram, need: a few rows that come from the pattern."""
+    rows = [(i, gram(t), len(term)) for i, term in enumerate(terms) for t in sorted(term)]
+    return spark.createDataFrame(rows, "alt int, gram long, need int")
 
 
-def matching_documents(pairs: DataFrame, terms: list[frozenset[str]]) -> DataFrame:
-    """pairs (trigram, doc_id) -> doc_id of documents with all trigrams of an alternative."""
+def _hits(pairs: DataFrame, terms: list[frozenset[str]]) -> DataFrame:
     wanted = F.broadcast(term_table(pairs.sparkSession, terms))
-    all_of = sorted(set().union(*terms))
-    hits = pairs.filter(F.col("trigram").isin(all_of)).join(wanted, "trigram").groupBy("alt", "doc_id", "need").agg(F.count_distinct("trigram").alias("n"))
-    return hits.filter("n = need").select("doc_id").distinct()
+    return pairs.filter(F.col("gram").isin(sorted({gram(t) for term in terms for t in term}))).join(wanted, "gram")
+
+
+def matching_documents(pairs: DataFrame, terms: list[frozenset[str]]) -> DataFrame:
+    """pairs (gram, doc_id), each once -> doc_id of documents with all trigrams of an alternative."""
+    if len(terms) == 1 and len(terms[0]) == 1:
+        return pairs.filter(F.col("gram") == gram(*terms[0])).select("doc_id")
+    found = _hits(pairs.select("gram", "doc_id"), terms).groupBy("alt", "doc_id", "need").agg(F.count("*").alias("n")).filter("n = need").select("doc_id")
+    return found if len(terms) == 1 else found.distinct()
 
 
 def matching_lines(posts: DataFrame, terms: list[frozenset[str]]) -> DataFrame:
-    """postings -> doc_id, line_no, byte_offset of lines with all trigrams of an alternative."""
-    wanted = F.broadcast(term_table(posts.sparkSession, terms))
-    all_of = sorted(set().union(*terms))
-    hits = posts.filter(F.col("trigram").isin(all_of)).join(wanted, "trigram").groupBy("alt", "doc_id", "line_no", "byte_offset", "need").agg(F.count_distinct("trigram").alias("n"))
-    return hits.filter("n = need").select("doc_id", "line_no", "byte_offset").distinct()
+    """postings -> doc_id, line_no, byte_offset of lines with all trigrams of an alternative.
+
+    The lists of lines of a document meet in its row, as many as the alternative has trigrams, and only of documents that
+    have all of them; only what is in every list becomes rows.
+    """
+    lists = _hits(posts.select("gram", "doc_id", F.arrays_zip("lines", "offsets").alias("at")), terms).groupBy("alt", "doc_id", "need").agg(F.collect_list("at").alias("ls"))
+    both = F.aggregate(F.slice("ls", 2, F.size("ls")), F.get("ls", 0), F.array_intersect)
+    found = lists.filter(F.size("ls") == F.col("need")).select("doc_id", F.explode(both).alias("x")).select("doc_id", F.col("x.lines").alias("line_no"), F.col("x.offsets").alias("byte_offset"))
+    return found if len(terms) == 1 else found.distinct()
 
 
 @dataclass
@@ -115,21 +201,23 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
 
-def write_store(corpus: DataFrame, path: str, case_insensitive: bool, buckets: int) -> None:
+def write_store(corpus: DataFrame, path: str, case_insensitive: bool, slots: int) -> None:
     """corpus (doc_id, path, relpath, text, length, mtime) -> the tables of a store."""
     corpus.select("doc_id", "path", "relpath", "length", "mtime").write.parquet(f"{path}/docs")
-    for folded, mark in ((False, ""), (True, "_ci")):
-        if folded and not case_insensitive:
-            continue
-        posts = postings(corpus, folded)
-        posts.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id", "line_no").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings{mark}")
-        write_trigram_docs(document_trigrams(corpus, folded), f"{path}/trigram_docs{mark}", buckets)
+    for mark in ("", "_ci") if case_insensitive else ("",):
+        write_postings(postings(corpus, bool(mark)), f"{path}/postings{mark}", slots)
+
 
+def slot(number: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(slots)).cast("int")
 
-def write_trigram_docs(pairs: DataFrame, path: str, buckets: int) -> None:
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-    sets = pairs.groupBy("trigram", bucket).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
-    sets.select("trigram", "bucket", "docs", F.size("docs").alias("n")).repartitionByRange("trigram", "bucket").sortWithinPartitions("trigram", "bucket").write.parquet(path)
+
+def write_postings(rows: DataFrame, path: str, slots: int) -> None:
+    """A trigram's rows are dealt by document, too: to about two deals a task in all."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(max(1, -(-2 * tasks // slots))))
+    placed = rows.select("gram", "doc_id", "lines", "offsets", slot(F.col("gram"), slots).alias("slot"), deal.alias("deal"))
+    placed.repartition("slot", "deal").sortWithinPartitions("slot", "gram", "doc_id").drop("deal").write.mode("append").option("parquet.block.size", 16 << 20).partitionBy("slot").parquet(path)
 
 
 @dataclass
@@ -184,9 +272,9 @@ class Index:
             n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
             if n != ids:
                 raise ValueError("document ids repeat")
-            buckets = max(1, -(-n // BUCKET_DOCS))
-            write_store(docs, f"{index.path}/{name}", case_insensitive, buckets)
-            index._commit(version=VERSION, main=name, delta=None, deleted=None, case_insensitive=case_insensitive, buckets=buckets, main_docs=n, root=corpus.root, options=options, built_at=datetime.now(UTC).isoformat())
+            slots = max(1, min(MAX_SLOTS, n // SLOT_DOCS))
+            write_store(docs, f"{index.path}/{name}", case_insensitive, slots)
+            index._commit(version=VERSION, main=name, delta=None, deleted=None, case_insensitive=case_insensitive, slots=slots, main_docs=n, root=corpus.root, options=options, built_at=datetime.now(UTC).isoformat())
         return index
 
     @classmethod
@@ -232,18 +320,24 @@ class Index:
             return self.spark.createDataFrame([], "doc_id long")
         return self.spark.read.schema("doc_id long").parquet(f"{self.path}/{self.meta['deleted']}")
 
-    def live(self, name: str) -> DataFrame:
-        """A table of main without what was deleted, and of delta. For trigram_docs: (trigram, doc_id)."""
+    def live(self, name: str, grams: set[str] | None = None) -> DataFrame:
+        """A table of main without what was deleted, and of delta; of postings those of the given trigrams, if any."""
         parts = []
         for store, tombs in ((self.main, bool(self.meta.get("deleted"))), (self.delta, False)):
             if store.path is None:
                 continue
             t = store.table(name)
-            if name.startswith("trigram_docs"):
-                t = t.select("trigram", F.explode("docs").alias("doc_id"))
+            if grams is not None:
+                t = self.only(t, grams)
             parts.append(t.join(self.deleted(), "doc_id", "left_anti").select(*t.columns) if tombs else t)
         return reduce(DataFrame.unionByName, parts)
 
+    def only(self, table: DataFrame, grams: set[str]) -> DataFrame:
+        """Postings of these trigrams: their folders, and the row groups in which they may be."""
+        numbers = sorted(map(gram, grams))
+        slots = [r["s"] for r in self.spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in numbers])).alias("g")).select(slot(F.col("g"), self.meta["slots"]).alias("s")).distinct().collect()]
+        return table.filter(F.col("slot").isin(slots) & F.col("gram").isin(numbers))
+
     def docs(self) -> DataFrame:
         return self.live("docs")
 
@@ -258,8 +352,16 @@ class Index:
 
     def document_frequencies(self, mark: str, grams: list[str]) -> dict[str, int]:
         """Of a pattern's trigrams; main's counts will do for choosing a way."""
-        rows = self.main.table(f"trigram_docs{mark}").filter(F.col("trigram").isin(grams)).groupBy("trigram").agg(F.sum("n").alias("n")).collect()
-        return {r["trigram"]: r["n"] for r in rows}
+        rows = self.only(self.main.table(f"postings{mark}"), set(grams)).groupBy("gram").agg(F.count("*").alias("n")).collect()
+        by = {r["gram"]: r["n"] for r in rows}
+        return {t: by.get(gram(t), 0) for t in grams}
+
+    def rarest(self, mark: str, terms: list[frozenset[str]], most: int = RAREST) -> list[frozenset[str]]:
+        """The terms with their rarest trigrams only, which find no fewer documents and lines."""
+        if all(len(t) <= most for t in terms):
+            return terms
+        df = self.document_frequencies(mark, sorted(set().union(*terms)))
+        return list(dict.fromkeys(frozenset(sorted(t, key=lambda g: (df[g], g))[:most]) for t in terms))
 
     def strategy(self, spec: SearchSpec) -> str:
         """all: no pruning; docs: by document; lines: by line."""
@@ -274,45 +376,59 @@ class Index:
                 return "docs"
         return "lines"
 
-    def candidate_docs(self, spec: SearchSpec) -> DataFrame:
-        """doc_id."""
+    def candidate_docs(self, spec: SearchSpec, most: int | None = None) -> DataFrame:
+        """doc_id of documents with all trigrams of an alternative, or with its so many rarest."""
         mark, terms = self.routed(spec)
         if spec.invert or terms is None:
             return self.docs().select("doc_id")
-        return matching_documents(self.live(f"trigram_docs{mark}"), terms)
+        terms = terms if most is None else self.rarest(mark, terms, most)
+        return matching_documents(self.live(f"postings{mark}", set().union(*terms)), terms)
 
-    def candidate_lines(self, spec: SearchSpec) -> DataFrame:
+    def candidate_lines(self, spec: SearchSpec, most: int | None = None) -> DataFrame:
         """doc_id, line_no, byte_offset."""
         mark, terms = self.routed(spec)
         if terms is None:
             raise ValueError("the pattern has no trigrams")
-        return matching_lines(self.live(f"postings{mark}"), terms)
+        terms = terms if most is None else self.rarest(mark, terms, most)
+        return matching_lines(self.live(f"postings{mark}", set().union(*terms)), terms)
+
+    def picked(self, docs: DataFrame, by: DataFrame, how: str = "left_semi") -> DataFrame:
+        """docs joined with a table of candidates (doc_id, ..., one row each), which comes first.
+
+        It is written, so its size is known: up to a million rows are broadcast, and the texts stay where they are read; few
+        are named in the filter of the scan. Only what is larger is left to a join that shuffles.
+        """
+        path = scratch_path(self.spark, "candidates")
+        by.write.parquet(path)
+        found = self.spark.read.schema(by.schema).parquet(path)
+        n = found.count()
+        if n <= SCAN_IDS:
+            docs = docs.filter(F.col("doc_id").isin([r["doc_id"] for r in found.select("doc_id").collect()]))
+            if how == "left_semi":
+                return docs
+        return docs.join(F.broadcast(found) if n <= BROADCAST_IDS else found, "doc_id", how)
 
     def search(self, corpus: Corpus, spec: SearchSpec, strategy: str | None = None) -> DataFrame:
-        """path, line_no, line: what a full search of the indexed documents gives."""
+        """path, line_no, line: what a full search of the indexed documents gives. Candidates are looked up when this is called."""
         strategy = strategy or self.strategy(spec)
-        docs = self.indexed(corpus, spec)
         matcher = plan(spec)
         if strategy == "lines":
-            hits = self.candidate_lines(spec).groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
-            lines = docs.join(hits, "doc_id").select("doc_id", "path", line_array(F.col("text")).alias("ls"), "at").select("path", "ls", F.explode("at").alias("line_no"))
+            hits = self.candidate_lines(spec, RAREST).groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
+            docs = self.picked(corpus.where(spec).docs, hits, "inner")
+            lines = docs.select("doc_id", "path", line_array(F.col("text")).alias("ls"), "at").select("path", "ls", F.explode("at").alias("line_no"))
             found = lines.select("path", "line_no", F.get("ls", F.col("line_no") - 1).alias("line")).filter(matcher.matches(F.col("line")))
         else:
-            if strategy == "docs":
-                docs = docs.join(self.candidate_docs(spec), "doc_id", "left_semi")
-            found = lines_of(docs, spec, matcher)
+            found = lines_of(self.picked(corpus.where(spec).docs, self.candidate_docs(spec, RAREST)) if strategy == "docs" else self.indexed(corpus, spec), spec, matcher)
         return found.select("path", "line_no", shown(F.col("line"), spec).alias("line"))
 
     def indexed(self, corpus: Corpus, spec: SearchSpec) -> DataFrame:
         """The corpus's documents that pass and that the index knows."""
-        return corpus.where(spec).docs.join(self.docs().select("doc_id"), "doc_id", "left_semi")
+        return self.picked(corpus.where(spec).docs, self.docs().select("doc_id"))
 
     def narrowed(self, corpus: Corpus, spec: SearchSpec) -> Corpus:
         """The corpus cut down to candidates, for every operator that takes a corpus."""
-        docs = corpus.docs.join(self.docs().select("doc_id"), "doc_id", "left_semi")
-        if self.strategy(spec) != "all":
-            docs = docs.join(self.candidate_docs(spec), "doc_id", "left_semi")
-        return Corpus(docs, corpus.root)
+        by = self.docs().select("doc_id") if self.strategy(spec) == "all" else self.candidate_docs(spec, RAREST)
+        return Corpus(self.picked(corpus.docs, by), corpus.root)
 
     def count(self, corpus: Corpus, spec: SearchSpec) -> DataFrame:
         return self.search(corpus, spec).agg(F.count("*").alias("n"))
@@ -329,12 +445,12 @@ class Index:
 
     def false_positives(self, corpus: Corpus, spec: SearchSpec) -> DataFrame:
         """doc_id, path of candidates without a match."""
-        docs = self.indexed(corpus, spec).join(self.candidate_docs(spec), "doc_id", "left_semi")
+        docs = self.picked(corpus.where(spec).docs, self.candidate_docs(spec))
         return docs.select("doc_id", "path").join(lines_of(docs, spec).select("doc_id").distinct(), "doc_id", "left_anti")
 
     def stats(self) -> DataFrame:
-        """docs, trigrams, postings, avg_postings: one row."""
-        per = self.live("postings").groupBy("trigram").agg(F.count("*").alias("n"))
+        """docs, trigrams, postings, avg_postings: one row. A posting is a line that holds a trigram."""
+        per = self.live("postings").groupBy("gram").agg(F.sum(F.size("lines")).alias("n"))
         x = per.agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.avg("n").alias("avg_postings"))
         return self.docs().agg(F.count("*").alias("docs")).crossJoin(x)  # one row and one row
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's own folder in the one that the cluster shares (spark.checkpoint.dir); a temporary one of this
-    machine only where none is named, which is then set."""
+    """This application's own folder in the one that the cluster shares (spark.checkpoint.dir). Where none is named, a
+    temporary one of this machine is set, but only if all of Spark runs in this one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         root = "file://" + tempfile.mkdtemp(prefix="linesieve-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/linesieve/{spark.sparkContext.applicationId}"

@@ -225,9 +225,8 @@ GRAMS = """+t AS (SELECT DISTINCT doc_id, line_no, unnest(list_transform(generat
 
 @add("trigram_postings", GRAMS + "SELECT trigram, count(*) AS postings, count(DISTINCT doc_id) AS docs FROM t GROUP BY trigram")
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    lines = explode_lines(corpus(spark, d).docs.select("doc_id", "text"))
-    per = lines.select("doc_id", F.explode(ix.trigrams(F.col("line"))).alias("trigram")).groupBy("trigram", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("trigram").agg(F.sum("n").alias("postings"), F.count("*").alias("docs"))
+    per = ix.postings(corpus(spark, d).docs).groupBy("gram").agg(F.sum(F.size("lines")).alias("postings"), F.count("*").alias("docs"))
+    return per.select(ix.trigram_of(F.col("gram")).alias("trigram"), "postings", "docs")
 
 
 @add("trigram_doc_freq", GRAMS + "SELECT trigram, count(DISTINCT doc_id) AS df FROM t GROUP BY trigram")
@@ -240,7 +239,7 @@ _PAIR = [frozenset({"Lic", "cen", "Apa"})]
 
 @add("index_candidates_docs", "SELECT doc_id FROM lines GROUP BY doc_id HAVING max(CAST(contains(line, 'Lic') AS INT)) + max(CAST(contains(line, 'cen') AS INT)) + max(CAST(contains(line, 'Apa') AS INT)) = 3")
 def _cand_docs(spark: SparkSession, d: str) -> DataFrame:
-    return ix.matching_documents(ix.document_trigrams(corpus(spark, d).docs), _PAIR)
+    return ix.matching_documents(ix.document_trigrams(corpus(spark, d).docs, only=sorted(_PAIR[0])), _PAIR)
 
 
 @add("index_candidates_lines", """+o AS (SELECT *, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM lines)
@@ -249,9 +248,15 @@ def _cand_lines(spark: SparkSession, d: str) -> DataFrame:
     return ix.matching_lines(ix.postings(corpus(spark, d).docs, only=sorted(_PAIR[0])), _PAIR)
 
 
+_BUILT: dict[tuple, str] = {}
+
+
 def built(spark: SparkSession, d: str, **options) -> tuple[Corpus, ix.Index]:
-    c = corpus(spark, d)
-    return c, ix.Index.build(c, scratch_path(spark, "index"), **options)
+    """The index of the documents, built once for a session, as look-ups are what the queries show."""
+    c, key = corpus(spark, d), (spark.sparkContext.applicationId, d, *sorted(options.items()))
+    if key not in _BUILT:
+        _BUILT[key] = ix.Index.build(c, scratch_path(spark, "index"), **options).path
+    return c, ix.Index.load(spark, _BUILT[key])
 
 
 def indexed(name: str, spec: SearchSpec, condition: str, strategy: str | None = None, **options) -> None:
@@ -325,6 +330,15 @@ def _incremental(spark: SparkSession, d: str) -> DataFrame:
     return index.search(new, SearchSpec("License"))
 
 
+@add("incremental_ignore_case", NEW_SQL.replace("contains(line, 'License')", "regexp_matches(line, '(?i)license')"))
+def _incremental_folded(spark: SparkSession, d: str) -> DataFrame:
+    """A delta of folded postings."""
+    old, new = snapshots(corpus(spark, d))
+    index = ix.Index.build(old, scratch_path(spark, "index"), case_insensitive=True)
+    incremental.update(index, new)
+    return index.search(new, SearchSpec("LICENSE", ignore_case=True))
+
+
 @add("streaming_index", NEW_SQL)
 def _streaming(spark: SparkSession, d: str) -> DataFrame:
     old, new = snapshots(corpus(spark, d))
@@ -357,13 +371,20 @@ def _fold(spark: SparkSession, d: str) -> DataFrame:
 
 @add("distinct_trigrams", GRAMS + "SELECT DISTINCT trigram FROM t")
 def _trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return ix.document_trigrams(corpus(spark, d).docs).select("trigram").distinct()
+    return ix.document_trigrams(corpus(spark, d).docs).select("gram").distinct().select(ix.trigram_of(F.col("gram")).alias("trigram"))
+
+
+# The checksum bit by bit: of a byte b, eight times c = (c >> 1) ^ (polynomial if c is odd).
+CRC_SQL = """+t AS (SELECT DISTINCT unnest(list_transform(generate_series(1, CAST(length(line) - 2 AS BIGINT)), lambda i: substr(line, i, 3))) AS trigram FROM lines),
+b AS (SELECT trigram, list_transform(generate_series(0, CAST(octet_length(encode(trigram)) - 1 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(trigram)), 2 * i + 1, 2) AS BIGINT)) AS bytes FROM t),
+s AS (SELECT trigram, list_reduce(flatten(list_transform(bytes, lambda x: [x + 256, 0, 0, 0, 0, 0, 0, 0])), lambda c, x: CASE WHEN xor(c, x & 255) % 2 = 1 THEN xor(xor(c, x & 255) >> 1, 3988292384) ELSE xor(c, x & 255) >> 1 END, 4294967295) AS crc FROM b)
+SELECT trigram, CAST(xor(crc, 4294967295) AS BIGINT) AS crc FROM s"""
 
 
-@add("trigram_crc")
+@add("trigram_crc", CRC_SQL)
 def _crc(spark: SparkSession, d: str) -> DataFrame:
     """Trigrams with their checksums, which tell ASCII ones apart as well as the trigrams do."""
-    return ix.document_trigrams(corpus(spark, d).docs).select("trigram").distinct().select("trigram", paths.trigram_crc(F.col("trigram")).alias("crc"))
+    return _trigrams(spark, d).select("trigram", paths.trigram_crc(F.col("trigram")).alias("crc"))
 
 
 @add("mtime_floor", "SELECT event_id, CAST(floor(epoch(ts) / 2) * 2 AS BIGINT) AS mtime FROM events", lines=False)

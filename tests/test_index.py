@@ -183,3 +183,58 @@ def test_cli(spark, tmp_path):
     for c in (["index", root, "-o", str(tmp_path / "j")], ["update", root, "-o", str(tmp_path / "j")], ["stats", root, "-o", str(tmp_path / "j")], ["bench", root, "-o", str(tmp_path / "k"), "--pattern", "fn"]):
         assert cli.run_command(c, spark, out.append) == 0
     assert "3 and 3 lines" in out[-1]
+
+
+def test_trigram_numbers(spark):
+    for t in ("abc", "é日🙂", "\t\r ", "\U0010ffffz"):
+        assert spark.range(1).select(ix.trigram_of(F.lit(ix.gram(t)).cast("long")).alias("t")).first()["t"] == t
+
+
+def test_postings_against_plain_python(spark):
+    texts = [None, "", "ab", "abc", "abcabc\nxabc\n\nabc", "é日🙂é日🙂\nab\né日🙂", "a\r\nbc\r\n" * 3, "x" * 5000, "\n" * 50, "K ſ ß İ\nKSS"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        at = 0
+        for n, line in enumerate((t or "").split("\n"), 1):
+            for g in {line[k : k + 3] for k in range(len(line) - 2)}:
+                want.setdefault((ix.gram(g), i), []).append((n, at))
+            at += len(line.encode()) + 1
+    got = {(r["gram"], r["doc_id"]): list(zip(r["lines"], r["offsets"])) for r in ix.postings(docs).collect()}
+    assert got == want
+    assert {tuple(r) for r in ix.document_trigrams(docs).collect()} == set(want)
+    only = [(r["gram"], r["doc_id"]) for r in ix.postings(docs, only=["abc"]).collect()]
+    assert sorted(only) == sorted(k for k in want if k[0] == ix.gram("abc"))
+    # Folded trigrams stand where the text's own do.
+    folded = {(n, o) for r in ix.postings(docs, True).filter("doc_id = 9").collect() for n, o in zip(r["lines"], r["offsets"])}
+    assert folded == {(1, 0), (2, len("K ſ ß İ\n".encode()))}
+    assert ix.postings(docs.filter("false")).count() == 0
+
+
+def test_look_up_moves_no_texts(spark, built):
+    """However it is searched, texts are not shuffled, and folders of other trigrams are not read."""
+    c, index, _ = built
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for strategy in ("docs", "lines"):
+            p = index.search(c, SearchSpec("function main"), strategy)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in p and "SortMergeJoin" not in p, p
+        p = index.candidate_docs(SearchSpec("function"))._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(slot" in p or "PartitionFilters: [slot" in p, p
+        assert "lines" not in p.split("ReadSchema")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rare = index.rarest("", [frozenset(ix.regex.trigram_terms(("lit", "function main"))[0])])
+    assert len(rare) == 1 and len(rare[0]) == ix.RAREST
+
+
+def test_scratch_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    from linesieve.plans import storage
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.scratch_root(fake(master))
+    assert storage.scratch_root(fake("local[4]")).startswith("file://")
