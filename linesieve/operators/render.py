@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linesieve.operators.context import with_context
 from linesieve.operators.search import only_matching
-from linesieve.plans.planner import plan
+from linesieve.plans.planner import Matcher, plan
 from linesieve.sources.corpus import Corpus
 from linesieve.spec import OutputFormat, SearchSpec
 
@@ -24,9 +22,9 @@ def relative(path: Column, root: str) -> Column:
     return F.replace(cut, F.lit("\\"), F.lit("/"))
 
 
-def highlight(line: Column, java: str) -> Column:
+def highlight(line: Column, matcher: Matcher) -> Column:
     """Each match between colour codes; empty matches get none."""
-    return F.regexp_replace(F.regexp_replace(line, f"({java})", MATCH.replace("\\", "\\\\") + "$1" + RESET), MATCH.replace("[", r"\[") + RESET.replace("[", r"\["), "")
+    return F.regexp_replace(matcher.marked(line, MATCH, RESET), MATCH.replace("[", r"\[") + RESET.replace("[", r"\["), "")
 
 
 def render(corpus: Corpus, spec: SearchSpec, format: OutputFormat | str = OutputFormat.GREP, color: bool = False) -> DataFrame:
@@ -41,7 +39,7 @@ def render(corpus: Corpus, spec: SearchSpec, format: OutputFormat | str = Output
     else:
         rows = with_context(corpus, spec)
         hits = rows.select("path", F.col("line_no").alias("ord"), F.lit(0).alias("sub"), "kind", F.col("line").alias("text"), "chunk")
-        text = F.when((F.col("kind") == "match") & F.lit(color and not spec.invert), highlight(F.col("text"), matcher.java)).otherwise(F.col("text"))
+        text = F.when((F.col("kind") == "match") & F.lit(color and not spec.invert), highlight(F.col("text"), matcher)).otherwise(F.col("text"))
     name = relative(F.col("path"), corpus.root) if format is OutputFormat.COMPACT else F.col("path")
     paint = lambda c, code: F.concat(F.lit(code), c, F.lit(RESET)) if color else c
     mark = F.when(F.col("kind") == "match", ":").otherwise("-")
@@ -61,7 +59,3 @@ def render(corpus: Corpus, spec: SearchSpec, format: OutputFormat | str = Output
 def ordered(rows: DataFrame) -> DataFrame:
     """The output in order of paths."""
     return rows.orderBy("path", "ord", "sub")
-
-
-def plain(spec: SearchSpec) -> SearchSpec:
-    return replace(spec, trim=False)

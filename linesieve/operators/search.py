@@ -30,11 +30,11 @@ def line_structs(spec: SearchSpec, text: Column, matcher: Matcher | None = None)
     """array of (n, line, hit): the lines of a text; hit is whether a line is wanted."""
     matcher = matcher or plan(spec)
     if spec.mode == "buffer" and not buffer_is_lines(spec):
-        marked = F.slice(F.split(F.regexp_replace(text, f"({matcher.java})", MARK + "$1"), "\n", -1), 1, F.size(line_array(text)))
+        marked = F.slice(F.split(matcher.marked(text, MARK), "\n", -1), 1, F.size(line_array(text)))
         shape = lambda line, i: F.struct((i + 1).cast("int").alias("n"), F.replace(line, F.lit(MARK), F.lit("")).alias("line"), _sign(line.contains(MARK), spec).alias("hit"))
         # A match after the last line end is on no line.
         return F.transform(marked, shape)
-    return F.transform(line_array(text), lambda line, i: F.struct((i + 1).cast("int").alias("n"), line.alias("line"), _sign(matcher.matches(line), spec).alias("hit")))
+    return F.transform(matcher.hits(text, line_array(text)), lambda x, i: F.struct((i + 1).cast("int").alias("n"), x["line"].alias("line"), _sign(x["hit"], spec).alias("hit")))
 
 
 def _sign(hit: Column, spec: SearchSpec) -> Column:
@@ -68,7 +68,7 @@ def only_matching(corpus: Corpus, spec: SearchSpec) -> DataFrame:
     """path, line_no, match_idx, match: one row per non-overlapping match, in the line without its carriage return."""
     matcher = plan(spec)
     found = lines_of(candidates(corpus, spec, matcher), spec, matcher)
-    parts = F.regexp_extract_all(strip_cr(F.col("line")), F.lit(f"(?:{matcher.java})"), 0)
+    parts = matcher.extracted(strip_cr(F.col("line")))
     out = found.select("path", "line_no", F.posexplode(parts).alias("match_idx", "match"))
     return out.withColumn("match", trim_start(F.col("match")) if spec.trim else F.col("match"))
 
@@ -91,7 +91,7 @@ def match_totals(corpus: Corpus, spec: SearchSpec) -> DataFrame:
     """lines, matches: lines with a match, and matches in them."""
     matcher = plan(spec)
     found = lines_of(candidates(corpus, spec, matcher), spec, matcher)
-    each = F.size(F.regexp_extract_all(strip_cr(F.col("line")), F.lit(f"(?:{matcher.java})"), 0))
+    each = F.size(matcher.extracted(strip_cr(F.col("line"))))
     return found.agg(F.count("*").cast("long").alias("lines"), F.coalesce(F.sum(each), F.lit(0)).cast("long").alias("matches"))
 
 
@@ -99,7 +99,7 @@ def files_with_matches(corpus: Corpus, spec: SearchSpec) -> DataFrame:
     """path: documents with a wanted line, each once."""
     matcher = plan(spec)
     any_line = F.exists(line_structs(spec, F.col("text"), matcher), lambda x: x["hit"])
-    if spec.mode == "line":
+    if spec.mode == "line" and not matcher.linear:
         any_line = F.exists(line_array(F.col("text")), lambda line: _sign(matcher.matches(line), spec))
     return candidates(corpus, spec, matcher).filter(any_line).select("path").distinct()
 
