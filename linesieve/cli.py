@@ -1,4 +1,4 @@
-"""Command line: python -m linesieve PATTERN [PATH] [options], or index, update, stats, bench, daemon."""
+"""Command line: python -m linesieve PATTERN [PATH] [options], or index, update, stats, bench, daemon, status, flush, stop."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from linesieve.functions import paths
 from linesieve.functions.regex import RegexError
 from linesieve.operators import incremental, render, search
 from linesieve.operators.index import Index
@@ -18,7 +20,7 @@ from linesieve.sources.files import stream_files
 from linesieve.spec import Action, ContextOpts, SearchSpec, resolve_format
 from linesieve.streaming import maintain
 
-COMMANDS = ("index", "update", "stats", "bench", "daemon")
+COMMANDS = ("index", "update", "stats", "bench", "daemon", "status", "flush", "stop")
 
 
 def session() -> SparkSession:
@@ -66,6 +68,12 @@ def spec_of(a: argparse.Namespace) -> SearchSpec:
     )
 
 
+def indexable(spark: SparkSession, path: str, output: str, options: dict) -> Corpus:
+    """The files that an index of path with these options of its build holds; updates hold to them, too."""
+    files = Corpus.from_files(spark, path, hidden=True, no_ignore=options.get("no_ignore", False), skip=(output,))
+    return files.where(SearchSpec("", types=tuple(options.get("types", ())), hidden=True))
+
+
 def run_search(argv: list[str], spark: SparkSession | None = None, out: Callable[[str], None] = print) -> int:
     """2 without a pattern, 1 on errors or if a quiet search finds nothing, else 0."""
     a = search_parser().parse_args(argv)
@@ -79,8 +87,13 @@ def run_search(argv: list[str], spark: SparkSession | None = None, out: Callable
         corpus = Corpus.from_files(spark, a.path, hidden=a.hidden, no_ignore=a.no_ignore, skip=(a.index,) if a.index else ())
         use = corpus
         if a.index and not a.invert:
-            index = Index.open(Corpus.from_files(spark, a.path, hidden=True, no_ignore=a.no_ignore, skip=(a.index,)), a.index, a.ignore_case)
-            incremental.update(index, Corpus.from_files(spark, a.path, hidden=True, no_ignore=index.meta["options"].get("no_ignore", a.no_ignore), skip=(a.index,)))
+            if not Index.is_current(spark, a.index):
+                Index.build(indexable(spark, a.path, a.index, {"no_ignore": a.no_ignore}), a.index, a.ignore_case, no_ignore=a.no_ignore, types=[])
+            index = Index.load(spark, a.index)
+            # A daemon has what has changed; without one the search catches up by itself.
+            if not maintain.ask(index, "flush"):
+                incremental.update(index, indexable(spark, a.path, a.index, index.meta["options"]))
+            index = Index.load(spark, a.index)
             use = index.narrowed(corpus, spec)
         if spec.action is Action.EXISTS:
             return 0 if search.any_match(use, spec) else 1
@@ -120,19 +133,14 @@ def run_command(argv: list[str], spark: SparkSession | None = None, out: Callabl
     spark = spark or session()
     options = {"no_ignore": a.no_ignore, "types": a.types}
 
-    def corpus(no_ignore: bool) -> Corpus:
-        return Corpus.from_files(spark, a.path, hidden=True, no_ignore=no_ignore, skip=(a.output,))
-
-    def of_types(c: Corpus, types: list[str]) -> Corpus:
-        return c.where(SearchSpec("", types=tuple(types), hidden=True))
-
+    corpus = indexable(spark, a.path, a.output, options)
     if argv[0] == "index":
         begin = time.perf_counter()
-        index = Index.build(of_types(corpus(a.no_ignore), a.types), a.output, a.ignore_case, **options)
+        index = Index.build(corpus, a.output, a.ignore_case, **options)
         out(f"indexed {index.meta['main_docs']} documents in {time.perf_counter() - begin:.2f}s")
         return daemon(spark, index, a.path, out) if a.daemon else 0
     if argv[0] == "bench":
-        whole = corpus(a.no_ignore)
+        whole = corpus
         index = Index.build(whole, f"{a.output}-bench-{os.getpid()}", a.ignore_case)
         for pattern in a.pattern or ["TODO", "import", "function"]:
             spec, times, counts = SearchSpec(pattern, ignore_case=a.ignore_case), [], []
@@ -144,18 +152,25 @@ def run_command(argv: list[str], spark: SparkSession | None = None, out: Callabl
         return 0
     if not Index.is_current(spark, a.output):
         if argv[0] == "stats":
-            row = Index.build(corpus(a.no_ignore), f"{a.output}-stats-{os.getpid()}").stats().first()
+            row = Index.build(corpus, f"{a.output}-stats-{os.getpid()}").stats().first()
             out(", ".join(f"{k}={v}" for k, v in row.asDict().items()))
             return 0
         print(f"no index at {a.output}", file=sys.stderr)
         return 1
     index = Index.load(spark, a.output)
-    now = of_types(corpus(index.meta["options"].get("no_ignore", False)), index.meta["options"].get("types", []))
+    if argv[0] in ("status", "flush", "stop"):
+        if (said := maintain.daemon_of(index)) is None:
+            print("no daemon", file=sys.stderr)
+            return 1
+        done = argv[0] == "status" or maintain.ask(index, argv[0])
+        out(f"running, pid {said['pid']}, {'changes are waiting' if said['dirty'] else 'up to date'}" if argv[0] == "status" else "done" if done else "no answer")
+        return 0 if done else 1
+    now = indexable(spark, a.path, a.output, index.meta["options"])
     if argv[0] == "update":
         s = incremental.update(index, now)
         out(f"added={s.added} modified={s.modified} deleted={s.deleted} unchanged={s.unchanged} in {s.duration_ms:.0f}ms")
     elif argv[0] == "stats":
-        row = index.stats().first().asDict() | {"root": index.meta["root"], "built_at": index.meta["built_at"], "stale": incremental.is_stale(index, now)}
+        row = index.stats().first().asDict() | {"root": index.meta["root"], "built_at": index.meta["built_at"], "stale": incremental.is_stale(index, now), "bytes": index.size()}
         out(", ".join(f"{k}={v}" for k, v in row.items()))
     else:
         return daemon(spark, index, a.path, out)
@@ -163,14 +178,17 @@ def run_command(argv: list[str], spark: SparkSession | None = None, out: Callabl
 
 
 def daemon(spark: SparkSession, index: Index, root: str, out: Callable[[str], None]) -> int:
-    """Catches up, then follows changes until it is interrupted."""
-    incremental.update(index, Corpus.from_files(spark, root, hidden=True, skip=(index.path,)))
-    query = maintain.maintain(index, maintain.changes_of_files(stream_files(spark, root, hidden=True)), f"{index.path}/stream")
+    """Catches up, then follows changes of the files that the index was built of, until it is asked to stop."""
+    if maintain.daemon_of(index):
+        print("a daemon is running", file=sys.stderr)
+        return 1
+    options = index.meta["options"]
+    incremental.update(index, indexable(spark, root, index.path, options))
+    files = stream_files(spark, root, hidden=True, no_ignore=options.get("no_ignore", False), skip=(index.path,), state=f"{index.path}/stream-files")
+    files = files.filter(paths.has_type(F.col("path"), tuple(options.get("types", ()))))
+    query = maintain.maintain(index, maintain.changes_of_files(files), f"{index.path}/stream")
     out("watching")
-    try:
-        query.awaitTermination()
-    except KeyboardInterrupt:
-        query.stop()
+    maintain.serve(index, query, out)
     return 0
 
 

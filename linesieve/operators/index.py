@@ -255,6 +255,15 @@ class Index:
         options[0] = over
         context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), options)
 
+    def _remove(self, name: str) -> None:
+        fs, p = self._fs(f"{self.path}/{name}")
+        fs.delete(p, False)
+
+    def size(self) -> int:
+        """Bytes of the stores in use."""
+        fs, _ = self._fs(self.path)
+        return sum(fs.getContentSummary(self._fs(store.path)[1]).getLength() for store in (self.main, self.delta) if store.path)
+
     def _commit(self, **changes) -> None:
         self.meta = {**self.meta, **changes}
         self._put("CURRENT", json.dumps(self.meta))
@@ -463,6 +472,10 @@ def _ignores_case(node: regex.Node) -> bool:
     return any(map(_ignores_case, inner))
 
 
+#: Seconds after which a lock is taken to be left by a writer that died; no build should take as long.
+STALE = 24 * 3600.0
+
+
 class Lock:
     """One writer at a time: a file that only one can create. waited tells that another was at work before."""
 
@@ -477,6 +490,9 @@ class Lock:
                 fs.create(self.file, False).close()
                 return self
             except Exception as e:
+                if "AlreadyExists" in str(e) and fs.exists(self.file) and time.time() - fs.getFileStatus(self.file).getModificationTime() / 1e3 > STALE:
+                    fs.delete(self.file, False)
+                    continue
                 if "AlreadyExists" not in str(e) or time.monotonic() > until:
                     raise TimeoutError(f"{self.index.path} is locked") from e
                 self.waited = True

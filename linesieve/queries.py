@@ -407,12 +407,16 @@ def _conversations(spark: SparkSession, d: str) -> DataFrame:
     return search.search(c, SearchSpec(r"tion[.]", types=("assistant",)))
 
 
-@add("file_source")
+_ROOT = os.path.dirname(os.path.abspath(__file__))
+
+
+@add("file_source", rf"""WITH f AS (SELECT substr(filename, {len(_ROOT) + 2}) AS path, string_split(content, chr(10)) AS ls FROM read_text('{_ROOT}/**/*.py')),
+x AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM f)
+SELECT path, CAST(line_no AS INT) AS line_no, line FROM x WHERE regexp_matches(line, '^def \w+')""", lines=False)
 def _file_source(spark: SparkSession, d: str) -> DataFrame:
     """The library's own source files, through the file source."""
-    root = os.path.dirname(os.path.abspath(__file__))
-    found = search.search(Corpus.from_files(spark, root), SearchSpec(r"^def \w+", types=("py",)))
-    return found.select(F.substring("path", len(root) + 2, 1000).alias("path"), "line_no", "line")
+    found = search.search(Corpus.from_files(spark, _ROOT), SearchSpec(r"^def \w+", types=("py",)))
+    return found.select(F.substring("path", len(_ROOT) + 2, 1000).alias("path"), "line_no", "line")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "corpus", "strip_cr", "table"]

@@ -6,7 +6,9 @@ by itself, on the driver, and reads in tasks.
 
 from __future__ import annotations
 
+import json
 import os
+import tempfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -56,8 +58,8 @@ def walk(root: str, hidden: bool = False, no_ignore: bool = False, skip: tuple[s
 
 
 class Split(InputPartition):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    def __init__(self, files: list[tuple[str, str]], gone: bool = False):
+        self.files, self.gone = files, gone
 
 
 def splits(files: Iterator[tuple[str, str, int, int]]) -> list[Split]:
@@ -72,8 +74,11 @@ def splits(files: Iterator[tuple[str, str, int, int]]) -> list[Split]:
 
 
 def rows(split: Split) -> Iterator[tuple]:
-    """Files that can't be read, or are gone, are passed over."""
+    """Files that can't be read are passed over; of those known to be gone there is an empty row."""
     for path, rel in split.files:
+        if split.gone:
+            yield path, rel, b"", 0, datetime.now(UTC).replace(tzinfo=None)
+            continue
         try:
             with open(path, "rb") as f:
                 content = f.read()
@@ -105,25 +110,46 @@ class FilesReader(DataSourceReader):
 
 
 class FilesStreamReader(DataSourceStreamReader):
-    """Files whose time of change is later than that of all files at the last look."""
+    """What differs between one listing and the next, by time and length: files that are new, changed or back with an older
+    time, and an empty row for each that is gone. An offset is the number of a listing; listings that are still needed lie in
+    the state folder, so a stream that is started again goes on from there. Like all listing it is the driver's work."""
 
     def __init__(self, options: dict):
-        self.options = Options(options)
+        self.options, self.state = Options(options), options.get("state") or tempfile.mkdtemp(prefix="linesieve-listing-")
+        os.makedirs(self.state, exist_ok=True)
+        self.at = max([0, *(int(n) for n in os.listdir(self.state) if n.isdigit())])
+
+    def known(self, n: int) -> dict[str, list]:
+        if not n:
+            return {}
+        with open(os.path.join(self.state, str(n)), encoding="utf-8", errors="surrogateescape") as f:
+            return json.load(f)
 
     def initialOffset(self) -> dict:
-        return {"ns": 0}
+        return {"listing": 0}
 
     def latestOffset(self) -> dict:
-        return {"ns": max((x[3] for x in self.options.files()), default=0)}
+        now = {path: [rel, length, ns] for path, rel, length, ns in self.options.files()}
+        if now != self.known(self.at):
+            path = os.path.join(self.state, str(self.at + 1))
+            with open(path + ".new", "w", encoding="utf-8", errors="surrogateescape") as f:
+                json.dump(now, f, ensure_ascii=False)
+            os.replace(path + ".new", path)
+            self.at += 1
+        return {"listing": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        return splits(x for x in self.options.files() if start["ns"] < x[3] <= end["ns"])
+        was, now = self.known(start["listing"]), self.known(end["listing"])
+        gone = [(path, x[0]) for path, x in was.items() if path not in now]
+        return [*splits((path, *x) for path, x in now.items() if was.get(path) != x), Split(gone, True)]
 
     def read(self, partition: Split) -> Iterator[tuple]:
         return rows(partition)
 
     def commit(self, end: dict) -> None:
-        pass
+        for n in os.listdir(self.state):
+            if n.isdigit() and int(n) < end["listing"]:
+                os.remove(os.path.join(self.state, n))
 
 
 class FilesSource(DataSource):
@@ -146,9 +172,11 @@ def read_files(spark: SparkSession, root: str, hidden: bool = False, no_ignore:
     return spark.read.format(FORMAT).option("root", root).option("hidden", hidden).option("no_ignore", no_ignore).option("skip", "\n".join(skip)).load()
 
 
-def stream_files(spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False) -> DataFrame:
+def stream_files(spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, skip: tuple[str, ...] = (), state: str | None = None) -> DataFrame:
+    """state: the folder of listings, for a stream that may be started again; without one a temporary folder."""
     spark.dataSource.register(FilesSource)
-    return spark.readStream.format(FORMAT).option("root", root).option("hidden", hidden).option("no_ignore", no_ignore).load()
+    options = {"root": root, "hidden": hidden, "no_ignore": no_ignore, "skip": "\n".join(skip)} | ({"state": state} if state else {})
+    return spark.readStream.format(FORMAT).options(**options).load()
 
 
 def read_binary_files(spark: SparkSession, root: str) -> DataFrame:

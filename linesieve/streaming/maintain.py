@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,7 +32,7 @@ def maintain(index: Index, changes: DataFrame, checkpoint: str, available_now: b
         if not batch.isEmpty():
             apply_changes(index, batch)
 
-    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(f"maintain-{abs(hash(index.path))}")
+    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(f"maintain-{zlib.crc32(index.path.encode()):08x}")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()
 
@@ -40,6 +46,49 @@ def status(query: StreamingQuery) -> dict:
     return {"running": query.isActive, "dirty": bool(query.isActive and query.status["isDataAvailable"]), **query.status}
 
 
+#: Seconds between looks at what is asked of a daemon, and without a sign of life after which it counts as dead.
+LOOK, DEAD = 0.5, 30.0
+
+
+def serve(index: Index, query: StreamingQuery, out: Callable[[str], None] = print) -> None:
+    """Keeps a stream running and answers what is asked through files in the index's folder, until it is asked to stop."""
+    beat = 0.0
+    try:
+        while query.isActive:
+            if time.time() - beat > DEAD / 6:
+                beat = time.time()
+                index._put("daemon", json.dumps({"pid": os.getpid(), "beat": beat, "dirty": status(query)["dirty"]}))
+            if index._read("flush") is not None:
+                flush(query)
+                index._remove("flush")
+            if index._read("stop") is not None:
+                break
+            query.awaitTermination(LOOK)
+    except KeyboardInterrupt:
+        out("interrupted")
+    finally:
+        query.stop()
+        for name in ("daemon", "stop", "flush"):
+            index._remove(name)
+
+
+def daemon_of(index: Index) -> dict | None:
+    """pid, beat and dirty of the daemon that keeps the index; None if there is none, or no sign of life."""
+    said = json.loads(index._read("daemon") or "null")
+    return said if said and time.time() - said["beat"] < DEAD else None
+
+
+def ask(index: Index, what: str, wait: float = 60.0) -> bool:
+    """what: stop or flush. True when the daemon has done so; False without a daemon, or if it doesn't in time."""
+    if daemon_of(index) is None:
+        return False
+    index._put(what, "")
+    until = time.monotonic() + wait
+    while index._read(what) is not None and time.monotonic() < until:
+        time.sleep(LOOK / 2)
+    return index._read(what) is None
+
+
 def debounced(events: DataFrame, gap: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
     """events (path, ts) -> begin, end, paths: a group ends when nothing has come for the gap, which each event restarts."""
     grouped = events.withWatermark("ts", late) if events.isStreaming else events

@@ -148,22 +148,74 @@ def test_file_source(spark, tmp_path):
 
 
 def test_file_stream(spark, tmp_path):
-    root = str(tmp_path / "in")
-    write(root, {"a.txt": "one\n", "b.txt": "two\n"})
+    root, state = str(tmp_path / "in"), str(tmp_path / "listings")
+    write(root, {"a.txt": "one\n", "b.txt": "two\n", "late.txt": "two\n"})
+    os.utime(f"{root}/late.txt", (4e9, 4e9))  # a date in the future hides nothing
     index = ix.Index.build(Corpus.from_files(spark, root), str(tmp_path / "idx"))
-    q = maintain.maintain(index, maintain.changes_of_files(files.stream_files(spark, root)), str(tmp_path / "cp"), every="0 seconds")
-    maintain.flush(q)
-    write(root, {"b.txt": "three\n", "c.txt": "four\n"})
-    deadline = time.time() + 60
-    while time.time() < deadline:
-        maintain.flush(q)
-        index = ix.Index.load(spark, index.path)
-        if index.docs().count() == 3:
-            break
-        time.sleep(0.5)
+    now = lambda: sorted(r["relpath"] for r in ix.Index.load(spark, index.path).docs().collect())
+
+    def begin():
+        return maintain.maintain(index, maintain.changes_of_files(files.stream_files(spark, root, state=state)), str(tmp_path / "cp"), every="0 seconds")
+
+    def until(wanted):
+        deadline = time.time() + 90
+        while now() != wanted and time.time() < deadline:
+            maintain.flush(q)
+            time.sleep(0.3)
+        assert now() == wanted
+
+    q = begin()
+    write(root, {"b.txt": "three\n", "c.txt": "four\n", "old.txt": "five\n"})
+    os.utime(f"{root}/old.txt", (1e9, 1e9))  # moved in, with an old date
+    until(["a.txt", "b.txt", "c.txt", "late.txt", "old.txt"])
+    os.remove(f"{root}/a.txt")
+    until(["b.txt", "c.txt", "late.txt", "old.txt"])
     assert maintain.status(q)["running"]
     q.stop()
-    assert found(index.search(Corpus.from_files(spark, root), SearchSpec("t|four")))[-1][2] == "four"
+    # What happens meanwhile is seen when it starts again.
+    os.remove(f"{root}/c.txt")
+    write(root, {"d.txt": "t\n"})
+    q = begin()
+    until(["b.txt", "d.txt", "late.txt", "old.txt"])
+    q.stop()
+    index = ix.Index.load(spark, index.path)
+    assert found(index.search(Corpus.from_files(spark, root), SearchSpec("t|four")))[0][2] == "three"
+
+
+def test_daemon_answers(spark, tmp_path):
+    import threading
+
+    from linesieve import cli
+
+    root, idx, out = str(tmp_path / "in"), str(tmp_path / "idx"), []
+    write(root, {"a.rs": "fn one\n", "b.txt": "fn two\n"})
+    run = lambda *a: cli.run_command([*a, root, "-o", idx], spark, out.append)
+    assert run("index", "--type", "rs") == 0 and run("status") == 1 and run("stop") == 1
+    t = threading.Thread(target=run, args=("daemon",))
+    t.start()
+    deadline = time.time() + 60
+    while run("status") and time.time() < deadline:
+        time.sleep(0.3)
+    write(root, {"c.rs": "fn three\n", "d.txt": "fn four\n"})
+    assert run("flush") == 0
+    # The build's filter holds for updates.
+    assert sorted(r["relpath"] for r in ix.Index.load(spark, idx).docs().collect()) == ["a.rs", "c.rs"]
+    assert run("stop") == 0
+    t.join(60)
+    assert not t.is_alive() and run("status") == 1
+    write(root, {"e.txt": "fn\n", "f.rs": "fn\n"})
+    out.clear()
+    assert cli.run_search(["fn", root, "-l", "--index", idx], spark, out.append) == 0
+    assert [os.path.basename(x) for x in out] == ["a.rs", "c.rs", "f.rs"]
+
+
+def test_lock_of_the_dead(spark, built, monkeypatch):
+    _, index, _ = built
+    index.lock(0.1).__enter__()
+    monkeypatch.setattr(ix, "STALE", 0.0)
+    time.sleep(1.1)
+    with index.lock(wait=0.1):
+        pass
 
 
 def test_cli(spark, tmp_path):
