@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("SimHash near-dedup", near_dedup), ("mixing sources", mix), ("BPE encoding", encode)]
 
-#: The stages hold EM, a classifier and a tokenizer, which SQL can't express. The pipeline's own test only runs the stages one by one.
+#: The stages hold EM, a classifier and a tokenizer, which SQL cannot express; tests/llm/test_pipeline.py has a plain version of each.
 ORACLE_SQL = None
 
 
