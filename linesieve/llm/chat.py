@@ -42,16 +42,29 @@ def keyed(conversations: DataFrame) -> DataFrame:
 
 
 def placed(conversations: DataFrame) -> DataFrame:
-    """Adds pos (from 0) and start, end: the running sum of tokens before and with the turn."""
+    """Adds pos (from 0), start and end: the running sum of tokens before and with the turn, is_sys: whether it is the first
+    turn with the role system, and sys_tokens, that turn's.
+
+    What holds of a whole conversation reaches its turns through its blocks, of which a conversation has one for 256 turn
+    numbers: no join deals all turns of a conversation to one task.
+    """
     x = keyed(conversations)
     blocks = x.groupBy("key", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("key", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
+    first = x.filter(F.col("role") == "system").groupBy("key").agg(F.min(F.struct("turn", "text", "tokens")).alias("sys"))
+    first = first.select("key", F.col("sys.turn").alias("sys_turn"), F.xxhash64("sys.text").alias("sys_hash"), F.col("sys.tokens").alias("sys_tokens"))
+    blocks = blocks.join(first, "key", "left")
     inside = Window.partitionBy("key", "block").orderBy("turn", "role", "text")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("i", F.row_number().over(inside) - 1).withColumn("s", F.sum("tokens").over(upto))
+    same = F.struct("turn", "role", F.xxhash64("text"))
+    x = x.withColumn("i", F.row_number().over(inside) - 1).withColumn("s", F.sum("tokens").over(upto)).withColumn("again", F.coalesce(F.lag(same).over(inside) == same, F.lit(False)))
     x = x.join(blocks, ["key", "block"])
-    return x.select("key", "conv_id", "role", "text", "tokens", (F.col("n0") + F.col("i")).cast("long").alias("pos"), (F.col("t0") + F.col("s") - F.col("tokens")).alias("start"), (F.col("t0") + F.col("s")).alias("end"))
+    is_sys = (F.col("role") == "system") & ~F.col("again") & F.coalesce((F.col("turn") == F.col("sys_turn")) & (F.xxhash64("text") == F.col("sys_hash")), F.lit(False))
+    return x.select(
+        "key", "conv_id", "role", "text", "tokens", (F.col("n0") + F.col("i")).cast("long").alias("pos"), (F.col("t0") + F.col("s") - F.col("tokens")).alias("start"), (F.col("t0") + F.col("s")).alias("end"),
+        is_sys.alias("is_sys"), "sys_tokens",
+    )
 
 
 def format_windows(conversations: DataFrame, budget: int = 1024, history_tokens: int = 192, history_turns: int = 4) -> DataFrame:
@@ -65,17 +78,19 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history_tokens:
     without a conversation id form one conversation. An empty table gives an empty result; other columns are ignored.
     """
     turns = placed(conversations)
-    system = turns.filter(F.col("role") == "system").groupBy("key").agg(F.min(F.struct("pos", "text", "tokens")).alias("sys"))
-    room = F.greatest(F.lit(budget) - history_tokens - F.coalesce(F.col("sys.tokens"), F.lit(0)), F.lit(max(2, budget // 4)))
-    turns = turns.join(system.select("key", F.struct("sys.pos", "sys.tokens").alias("sys")), "key", "left").withColumn("room", room.cast("long")).withColumn("half", F.expr("room div 2"))
+    room = F.greatest(F.lit(budget) - history_tokens - F.coalesce(F.col("sys_tokens"), F.lit(0)), F.lit(max(2, budget // 4)))
+    turns = turns.withColumn("room", room.cast("long")).withColumn("half", F.expr("room div 2"))
     last = F.expr("(`end` - 1) div half")
     turns = turns.withColumn("window", (2 * last + F.when(F.col("tokens") > F.col("half"), 0).otherwise(1)).cast("long"))
-    turns = materialise(turns.select("key", "conv_id", "role", "text", "tokens", "pos", "start", "window", F.col("sys.pos").alias("sys_pos")), "chat-turns")
-    heads = turns.groupBy("key", "window").agg(F.min("pos").alias("head"), F.min("start").alias("from"), F.max(F.col("pos") == F.col("sys_pos")).alias("has_sys"))
+    turns = materialise(turns.select("key", "conv_id", "role", "text", "tokens", "pos", "start", "window", "is_sys"), "chat-turns")
+    heads = turns.groupBy("key", "window").agg(F.min("pos").alias("head"), F.min("start").alias("from"), F.max("is_sys").alias("has_sys"))
     # Each window asks for the few turns before its first; a place is one row, so a long conversation is no hot key here.
     back = heads.select("key", F.col("window").alias("to"), "from", F.explode(F.sequence(F.col("head") - history_turns, F.col("head") - 1)).alias("pos")).filter("pos >= 0")
-    near = turns.join(back, ["key", "pos"]).filter((F.col("start") >= F.col("from") - history_tokens) & ~F.coalesce(F.col("pos") == F.col("sys_pos"), F.lit(False)))
-    lead = heads.filter(~F.coalesce("has_sys", F.lit(False))).select("key", F.col("window").alias("to")).join(turns.filter(F.col("pos") == F.col("sys_pos")), "key")
+    near = turns.join(back, ["key", "pos"]).filter((F.col("start") >= F.col("from") - history_tokens) & ~F.col("is_sys"))
+    # The system turn goes to stretches of windows first, one row each, and from there to their windows.
+    without = heads.filter(~F.col("has_sys")).select("key", F.col("window").alias("to"), F.shiftright("window", BLOCK_BITS + 1).alias("stretch"))
+    spread = without.select("key", "stretch").distinct().join(turns.filter("is_sys"), "key")
+    lead = without.join(spread, ["key", "stretch"])
     shape = lambda df, window, repeated: df.select("key", "conv_id", F.col(window).alias("window"), "pos", "role", "text", "tokens", F.lit(repeated).alias("repeated"))
     rows = shape(turns, "window", False).unionByName(shape(near, "to", True)).unionByName(shape(lead, "to", True))
     made = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEAD), escape(F.col("text")), F.lit(CLOSE))

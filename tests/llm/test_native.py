@@ -178,6 +178,24 @@ def test_chat_windows(spark):
     assert set(seen.values()) == {1} and len(seen) == len(rows)
 
 
+def test_one_long_conversation_is_spread(spark):
+    """A conversation with nearly all turns, the system turn among them twice: right, and no task has all its turns."""
+    n = 40_000
+    long = spark.range(n).select(F.lit(9).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("say "), F.col("id").cast("string")).alias("text"))
+    few = [(9, 70, "system", "be kind"), (9, 70, "system", "be kind"), (9, 70, "system", "then brief"), (8, 1, "assistant", "x"), (9, None, "user", "at first")]
+    df = long.unionByName(spark.createDataFrame(few, CONV))
+    windows = chat.format_windows(df, budget=256, history_tokens=32)
+    rows = windows.select("conv_id", "window", F.filter("turns", lambda t: t["role"] == "system").alias("s"), "n_tokens").collect()
+    mine = [r for r in rows if r["conv_id"] == 9]
+    # Every window has the first system turn once; the other ones are turns like any.
+    assert len(mine) > 1000 and all(sum(t["pos"] == 71 for t in r["s"]) == 1 for r in mine) and all(r["n_tokens"] <= 256 for r in rows)
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_back(windows).collect()}
+    assert got == plain_digest([tuple(r) for r in df.collect()])
+    x = chat.placed(df)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert x.count() == n + 5 and len(re.findall(r"Join LeftOuter, \(key", plan)) == 1
+
+
 def test_chat_escape_is_reversible(spark):
     texts = ["<s>", "</s>", "<\\s>", "[INST]", "[\\\\/INST]", "<<s>>", "\\<s>", "a<b[c]", "[/INST", "<\\\\\\/s>[INST]<s>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
