@@ -30,6 +30,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy if it has more than a share of one in so many of the rows: there are fewer such keys than that.
+HEAVY = 4096
+
+
+def join_counted(rows: DataFrame, found: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+    """rows joined with found, which has each key once with the number n of its rows. Null keys join nothing.
+
+    Keys with more than 1/HEAVY of all rows are broadcast (by that rule there are fewer than HEAVY), so that their rows stay
+    where they are; the others are joined as Spark sees fit, none with more than that share in one task. total: the number
+    of rows, counted if not given.
+    """
+    least = (rows.count() if total is None else total) / HEAVY
+    heavy = F.broadcast(found.filter(F.col(n) > least))
+    light = rows.join(heavy.select(key), key, "left_anti").join(found.filter(F.col(n) <= least), key)
+    return light.unionByName(rows.join(heavy, key))
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table made by materialise()."""
     spark = df.sparkSession
@@ -100,4 +117,4 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["WS", "WS_CHARS", "columns_like", "drop", "materialise", "own_name", "process_cache", "remainder", "scratch_path", "sorted_runs", "utf8", "words_of"]
+__all__ = ["WS", "WS_CHARS", "columns_like", "drop", "join_counted", "materialise", "own_name", "process_cache", "remainder", "scratch_path", "sorted_runs", "utf8", "words_of"]

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import drop, materialise
+from linesieve.llm.common import drop, join_counted, materialise
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
     """Links each node's larger (large) or smaller neighbours and itself to the least of them all. Least values are sums
-    by key, so a node with very many neighbours is combined before the shuffle, and only joined rows are dealt by node."""
+    by key, so a node with very many neighbours is combined before the shuffle, and join_counted brings them to the
+    neighbours without gathering those of a heavy node. total: no less than the number of pairs."""
     if not large:
         pairs = pairs.filter("b < a")
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = least.select("a", F.least("a", "m").alias("m"), "n")
     kept = pairs.filter("b > a") if large else pairs
-    out = kept.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = join_counted(kept, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a != b").distinct()
@@ -38,9 +39,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        mid = _star(_undirected(now), True)
-        new = materialise(_star(mid, False), "edges")
+        mid = materialise(_star(_undirected(now), True, 2 * seen[0]), "stars")
+        new = materialise(_star(mid, False, 2 * seen[0]), "edges")
         drop(now)
+        drop(mid)
         now, was = new, seen
         seen = digest(now)
         if seen == was:

@@ -1,12 +1,14 @@
 """SimHash near-duplicates, found by BK-trees over shards of the fingerprints.
 
 Fingerprints within 3 bits of each other agree in one of four blocks of 16 bits at least. A shard is the set of distinct
-fingerprints with one value in one block; each shard has BK-trees, whose children are keyed by the integer Hamming
+fingerprints with one value in the low bits of one block: as many bits as leave 64 to 128 fingerprints to a tree on
+average, and all 16 beyond four million. Each shard has BK-trees, whose children are keyed by the integer Hamming
 distance to the parent, and a search follows only edges within the radius. Shards that are too large for one tree are
 divided by a second block in the same way (the other 48 bits, in four blocks of 12), and if they still are, into several
 trees by a hash; each tree then goes to all probes of its shard. Trees go to their own shard's probes rather than
 to all workers: all trees together grow with the corpus, and a broadcast must not. A tree's task reports what it links as
-a forest, so a group of copies costs as many rows as it has fingerprints, not pairs.
+a forest, so a group of copies costs as many rows as it has fingerprints, not pairs. Rows find the class of their
+fingerprint, and fingerprints that of their root, by join_counted, which keeps heavy keys out of the shuffle.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import columns_like, materialise, own_name, sorted_runs, utf8
+from linesieve.llm.common import columns_like, join_counted, materialise, own_name, sorted_runs, utf8
 from linesieve.llm.components import components
 
 RADIUS = 3
 SHINGLE = 3
 #: Fingerprints in one tree at most.
 TREE = 1024
+#: Fingerprints that a tree should have on average, at least; up to twice as many.
+MEAN = 64
 SEED = 42
 _CHUNK = 1 << 16
 
@@ -127,14 +131,19 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE):
     return fp(F.col(f"`{text}`").cast("string"))
 
 
-def _keys(values: DataFrame, tree: int) -> DataFrame:
+def _block_bits(n: int) -> int:
+    """Bits of a block that deal n fingerprints to shards of MEAN or more each."""
+    return min(16, max(0, (n // MEAN).bit_length() - 1))
+
+
+def _keys(values: DataFrame, tree: int, bits: int = 16) -> DataFrame:
     """values (fp) -> (shard, part, fp, role): role 0 builds the tree, 1 probes it. part: the tree within the shard."""
-    four = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), (F.shiftrightunsigned("fp", 16 * b).bitwiseAND(0xFFFF)).alias("v")) for b in range(4)]))
+    four = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), (F.shiftrightunsigned("fp", 16 * b).bitwiseAND((1 << bits) - 1)).alias("v")) for b in range(4)]))
     first = values.select("fp", four.alias("k")).select("fp", (F.col("k.b") * 65536 + F.col("k.v")).cast("long").alias("shard"))
     sizes = first.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     first = first.join(sizes, "shard")
     small = first.filter(F.col("n") <= tree).select("shard", "fp", F.lit(1).cast("long").alias("trees"))
-    # The other 48 bits: the block of the shard is cut out.
+    # The other 48 bits: the block of the shard is cut out. Three differing bits can't touch all four parts of them.
     b = F.expr("int(shard div 65536)")
     rest = F.when(b == 0, F.shiftrightunsigned("fp", 16))
     for i in range(1, 4):
@@ -152,8 +161,9 @@ def _keys(values: DataFrame, tree: int) -> DataFrame:
     return build.unionByName(probe)
 
 
-def links(values: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
-    """values (fp: distinct longs) -> edges (a, b) that connect exactly what chains of links within the radius connect."""
+def links(values: DataFrame, radius: int = RADIUS, tree: int = TREE, bits: int | None = None) -> DataFrame:
+    """values (fp: distinct longs) -> edges (a, b) that connect exactly what chains of links within the radius connect.
+    bits: how many of each block's bits name a shard; counted from the table where not given."""
     if not 0 <= radius <= 3:
         raise ValueError("four blocks find up to three differing bits")
 
@@ -173,18 +183,18 @@ def links(values: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFram
         if found:
             yield pd.DataFrame(np.array(found, dtype=np.uint64).view(np.int64), columns=["a", "b"])
 
-    keys = _keys(values, tree)
+    keys = _keys(values, tree, _block_bits(values.count()) if bits is None else bits)
     dealt = keys.repartition("shard", "part").sortWithinPartitions("shard", "part", "role")
     return dealt.mapInPandas(search, "a long, b long")
 
 
 def classes(rows: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
-    """rows (fp, id) -> (fp, component_id, keep): the least id of all that links reach, and the least id among equal ids' rows."""
-    nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("id")), "fps")
+    """rows (fp, id) -> (fp, component_id, n): the least id of all rows that links reach, and how many rows have the fp."""
+    nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "fps")
     comp = components(links(nodes.select("fp"), radius, tree))
-    x = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
-    least = x.groupBy("root").agg(F.min("id").alias("component_id"))
-    return x.join(least, "root").select("fp", "component_id")
+    x = materialise(nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "id", "n", F.coalesce("component", "fp").alias("root")), "roots")
+    least = x.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    return join_counted(x, least, "root", "size").select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -197,7 +207,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     base = columns_like(docs, {"doc_id": "long", "text": "string"})
     rows = materialise(base.select("doc_id", fingerprints(base, "text", shingle).alias("fp")), "simhash")
     found = classes(rows.select("fp", F.col("doc_id").alias("id")), radius)
-    out = rows.join(found, "fp")
+    out = join_counted(rows, found, "fp", "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

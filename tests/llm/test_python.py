@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from linesieve.llm import ann, bpe_chunks, components, ngram_lm, quality_classifier, simhash, token_orc, toxicity
-from linesieve.llm.common import scratch_path
+from linesieve.llm.common import join_counted, scratch_path
 from tests.llm.test_native import DOCS, ODD, with_clashes
 
 SF = "/root/testdata/sf0.01"
@@ -337,8 +337,8 @@ def test_links(spark):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = plain_classes(fps)
-    for tree in (1024, 8):
-        edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), tree=tree)
+    for tree, bits in ((1024, None), (8, None), (8, 5), (1024, 16), (8, 16), (64, 0)):
+        edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), tree=tree, bits=bits)
         comp = {r["node"] & (1 << 64) - 1: r["component"] for r in components.components(edges).collect()}
         groups, plain = defaultdict(set), defaultdict(set)
         for x in fps:
@@ -347,6 +347,38 @@ def test_links(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_block_bits():
+    for n in (0, 1, 63, 64, 127, 128, 5000, 235_000, 10**7, 10**10):
+        bits = simhash._block_bits(n)
+        assert 0 <= bits <= 16 and (bits == 16 or n < 2 * simhash.MEAN << bits) and (bits == 0 or n >= simhash.MEAN << bits)
+
+
+def test_heavy_keys(spark):
+    """Half of 60,000 rows have one key, and the rest a key each or none."""
+    rows = spark.range(60_000).select(F.when(F.col("id") < 30_000, 7).when(F.col("id") < 59_000, F.col("id")).alias("k"), F.col("id").alias("x"))
+    found = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("m"))
+    got = join_counted(rows, found, "k", "n")
+    assert got.columns == ["k", "x", "n", "m"]
+    assert got.exceptAll(rows.join(found, "k")).count() == 0 and got.count() == 59_000
+    assert join_counted(rows.limit(0), found.limit(0), "k", "n").count() == 0
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        longest = join_counted(rows, found.filter("k >= 0"), "k", "n").filter("n > 1000")
+        assert longest.count() == 30_000 and "SortMergeJoin" in longest._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in longest._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    star = spark.range(1, 20_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert components.components(star).filter("component = 0").count() == 20_000
+
+
+def test_many_copies(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text of many copies").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("text"))
+    got = simhash.near_duplicates(rows)
+    assert got.count() == 20_000 and got.filter("doc_id % 2 = 0").select("component_id").distinct().count() == 1
+    assert got.filter("doc_id % 2 = 0").first()["component_id"] == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
