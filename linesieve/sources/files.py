@@ -31,8 +31,7 @@ def walk(root: str, hidden: bool = False, no_ignore: bool = False, skip: tuple[s
         yield root, os.path.basename(root), s.st_size, s.st_mtime_ns
         return
     skip = tuple(os.path.abspath(x) for x in skip)
-    above: list[gitignore.Rules] = []
-    stack = [(root, above)]
+    stack = [(root, [] if no_ignore else gitignore.above(root))]
     while stack:
         folder, rules = stack.pop()
         if not no_ignore and (own := gitignore.load(folder)):

@@ -33,18 +33,39 @@ class Rules:
         return out
 
 
-def load(folder: str) -> Rules | None:
-    """The rules of a folder's .ignore and .gitignore files; .ignore wins."""
+def _lines(folder: str, names: tuple[str, ...]) -> list[str]:
     lines: list[str] = []
-    for name in (".gitignore", ".ignore"):
+    for name in names:
         try:
             with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
                 lines += f.readlines()
         except OSError:
             continue
+    return lines
+
+
+def load(folder: str) -> Rules | None:
+    """The rules of a folder's .ignore and .gitignore files; .ignore wins."""
+    lines = _lines(folder, (".gitignore", ".ignore"))
     return Rules(folder, lines) if lines else None
 
 
+def above(root: str) -> list[Rules]:
+    """The rules that hold for a folder from those over it, outermost first: all their .ignore files, and, if the folder is in
+    a repository, the .gitignore files up to the one that holds .git and its .git/info/exclude, which gives way to the rest."""
+    chain = [os.path.abspath(root)]
+    while os.path.dirname(chain[-1]) != chain[-1]:
+        chain.append(os.path.dirname(chain[-1]))
+    repo = next((i for i, x in enumerate(chain) if os.path.exists(os.path.join(x, ".git"))), -1)
+    out = []
+    for i, folder in reversed(list(enumerate(chain))):
+        if i == repo:
+            out.append(Rules(folder, _lines(folder, (os.path.join(".git", "info", "exclude"),))))
+        if i:
+            out.append(Rules(folder, _lines(folder, (".gitignore", ".ignore") if i <= repo else (".ignore",))))
+    return [x for x in out if x.rules]
+
+
 def ignored(path: str, is_dir: bool, stack: list[Rules]) -> bool:
     for rules in reversed(stack):
         if (found := rules.decide(path, is_dir)) is not None:

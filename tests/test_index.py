@@ -147,6 +147,20 @@ def test_file_source(spark, tmp_path):
     assert "a.txt" in {r["relpath"] for r in files.read_binary_files(spark, root).collect()}
 
 
+def test_ignore_files_of_parents(tmp_path):
+    top = str(tmp_path)
+    write(top, {
+        ".ignore": "top.txt\n", ".gitignore": "a.txt\n", "repo/.git/info/exclude": "ex.txt\nback.txt\n", "repo/.gitignore": "*.log\n/in/sub/x.txt\n!back.txt\n",
+        **{f"repo/in/{x}": "" for x in ("a.txt", "top.txt", "ex.txt", "back.txt", "b.log", "sub/x.txt", "sub/keep.log", "sub/y.txt")}, "repo/in/sub/.ignore": "!keep.log\n", "a.txt": "", "other/a.txt": "",
+    })
+    names = lambda root, **o: sorted(x[1] for x in files.walk(f"{top}/{root}", **o))
+    assert names("repo/in") == ["a.txt", "back.txt", "sub/keep.log", "sub/y.txt"]
+    assert names("repo/in/sub") == ["keep.log", "y.txt"]
+    assert names("repo") == ["in/" + x for x in names("repo/in")]
+    assert names("other") == ["a.txt"]
+    assert len(names("repo/in", no_ignore=True)) == 8
+
+
 def test_file_stream(spark, tmp_path):
     root, state = str(tmp_path / "in"), str(tmp_path / "listings")
     write(root, {"a.txt": "one\n", "b.txt": "two\n", "late.txt": "two\n"})
