@@ -3,13 +3,15 @@
 Java matches a repeated group by recursion, a few thousand repeats of which end in a stack overflow that takes the executor
 with it, and may try nested repeats in exponentially many ways. Such patterns go to RE2, through Arrow's kernels over
 batches of texts. RE2 knows neither Unicode's classes as this dialect has them nor their intersections, so every class is
-worked out to ranges of characters. What it can't express, Unicode word boundaries above all, is left to Java.
+worked out to ranges of characters. What it can't express, Unicode word boundaries above all, goes to an automaton of this
+library (functions.automaton), which is slower, but linear too.
 """
 
 from __future__ import annotations
 
 import re as std
 from functools import cache
+from typing import TYPE_CHECKING, Union
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linesieve.functions.casefold import equal_chars
-from linesieve.functions.regex import Alt, Assertion, Char, CharSet, Concat, Dot, Group, Node, Repeat
+from linesieve.functions.regex import Alt, Assertion, Char, CharSet, Concat, Dot, Group, Node, RegexError, Repeat
+
+if TYPE_CHECKING:
+    from linesieve.functions.automaton import Automaton
 
 #: Repeats of a group, or wide repeats in a row, from which on Java is not asked.
 MANY, WIDE = 100, 3
@@ -144,56 +149,87 @@ def re2(node: Node) -> str:
     raise TypeError(node)
 
 
-def pattern(node: Node) -> str | None:
-    """A pattern for RE2 that it takes, if Java should not run the node; else None."""
+#: A pattern for RE2, or the automaton that takes its place.
+Engine = Union[str, "Automaton"]
+
+
+def pattern(node: Node) -> Engine | None:
+    """What runs a node that Java should not run; None for one that it may. RegexError if nothing can."""
     if not risky(node):
         return None
     try:
         made = re2(node)
         pc.match_substring_regex(pa.array([""]), made)
+        return made
     except (Unknown, pa.ArrowInvalid):
-        return None
-    return made
+        pass
+    from linesieve.functions.automaton import Automaton
+
+    try:
+        return Automaton(node)
+    except Unknown as e:
+        raise RegexError(f"no engine takes this pattern in linear time: {e}") from e
+
+
+def _tested(texts: pa.Array, made: Engine) -> pa.Array:
+    if isinstance(made, str):
+        return pc.match_substring_regex(texts, made)
+    return pa.array([None if t is None else made.search(t) for t in texts.to_pylist()], pa.bool_())
+
+
+def _around(texts: pa.Array, made: Engine, before: str, after: str) -> pa.Array:
+    """Texts with before and after around each match."""
+    if isinstance(made, str):
+        return pc.replace_substring_regex(texts, f"({made})", before.replace("\\", r"\\") + r"\1" + after.replace("\\", r"\\"))
 
+    def one(t: str) -> str:
+        out, at = [], 0
+        for a, z in made.spans(t):
+            out += (t[at:a], before, t[a:z], after)
+            at = z
+        return "".join([*out, t[at:]])
 
-def matches(text: Column, made: str) -> Column:
+    return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+
+
+def matches(text: Column, made: Engine) -> Column:
     """Whether a text has a match."""
 
     @F.arrow_udf("boolean")
     def test(texts: pa.Array) -> pa.Array:
-        return pc.match_substring_regex(texts, made)
+        return _tested(texts, made)
 
     return test(text)
 
 
-def line_hits(text: Column, made: str) -> Column:
+def line_hits(text: Column, made: Engine) -> Column:
     """array<boolean>: for what lies between line ends, in order, whether it has a match."""
 
     @F.arrow_udf("array<boolean>")
     def test(texts: pa.Array) -> pa.Array:
         parts = pc.split_pattern(texts, "\n")
-        return pa.ListArray.from_arrays(parts.offsets, pc.match_substring_regex(parts.values, made), mask=parts.is_null())
+        return pa.ListArray.from_arrays(parts.offsets, _tested(parts.values, made), mask=parts.is_null())
 
     return test(text)
 
 
-def marked(text: Column, made: str, before: str, after: str) -> Column:
+def marked(text: Column, made: Engine, before: str, after: str) -> Column:
     """The text with before and after around each match."""
 
     @F.arrow_udf("string")
     def mark(texts: pa.Array) -> pa.Array:
-        return pc.replace_substring_regex(texts, f"({made})", before.replace("\\", r"\\") + r"\1" + after.replace("\\", r"\\"))
+        return _around(texts, made, before, after)
 
     return mark(text)
 
 
-def extracted(text: Column, made: str) -> Column:
+def extracted(text: Column, made: Engine) -> Column:
     """array<string>: the matches, which don't overlap."""
     between = std.compile(f"{_OPEN}(.*?){_SHUT}", std.S)
 
     @F.arrow_udf("array<string>")
     def extract(texts: pa.Array) -> pa.Array:
-        held = pc.replace_substring_regex(texts, f"({made})", rf"{_OPEN}\1{_SHUT}")
+        held = _around(texts, made, _OPEN, _SHUT)
         return pa.array([None if t is None else between.findall(t) for t in held.to_pylist()], pa.list_(pa.string()))
 
     return extract(text)

@@ -15,13 +15,13 @@ from linesieve.spec import SearchSpec
 @dataclass(frozen=True)
 class Matcher:
     """kind: literal, literals, prefiltered, regex or linear; java: the pattern for extraction and for tests that need one;
-    linear: the one for RE2, which is used wherever there is one."""
+    linear: what takes linear time where Java's engine doesn't, used wherever there is one."""
 
     kind: str
     texts: tuple[str, ...]
     java: str
     needed: tuple
-    linear: str | None = None
+    linear: linear.Engine | None = None
 
     def matches(self, line: Column) -> Column:
         if self.linear:
