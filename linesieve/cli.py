@@ -15,6 +15,7 @@ from linesieve.functions import paths
 from linesieve.functions.regex import RegexError
 from linesieve.operators import incremental, render, search
 from linesieve.operators.index import Index
+from linesieve.plans.storage import remove, scratch_path
 from linesieve.sources.corpus import Corpus
 from linesieve.sources.files import stream_files
 from linesieve.spec import Action, ContextOpts, SearchSpec, resolve_format
@@ -110,10 +111,11 @@ def run_search(argv: list[str], spark: SparkSession | None = None, out: Callable
             return 0
         format = resolve_format(a.format, a.no_heading, a.heading, os.environ.get("LINESIEVE_FORMAT"), sys.stdout.isatty())
         n = 0
-        for r in render.ordered(render.render(use, spec, format, a.color)).toLocalIterator():
+        # Always sorted: rows without an order would be fetched task by task, each scanned when it is asked for.
+        for r in render.ordered(render.render(use, spec, format, a.color, kinds=True)).toLocalIterator():
             out(r["out"])
-            n += 1
-        print(f"Searched in {(time.perf_counter() - begin) * 1e3:.1f}ms, {n} lines of output", file=sys.stderr)
+            n += r["kind"] == "match"
+        print(f"Searched in {(time.perf_counter() - begin) * 1e3:.1f}ms, {n} matches", file=sys.stderr)
         return 0
     except (RegexError, ValueError, OSError) as e:
         print(e, file=sys.stderr)
@@ -141,7 +143,7 @@ def run_command(argv: list[str], spark: SparkSession | None = None, out: Callabl
         return daemon(spark, index, a.path, out) if a.daemon else 0
     if argv[0] == "bench":
         whole = corpus
-        index = Index.build(whole, f"{a.output}-bench-{os.getpid()}", a.ignore_case)
+        index = Index.build(whole, scratch_path(spark, "bench"), a.ignore_case)
         for pattern in a.pattern or ["TODO", "import", "function"]:
             spec, times, counts = SearchSpec(pattern, ignore_case=a.ignore_case), [], []
             for run in (lambda s=spec: search.search(whole, s).count(), lambda s=spec: index.search(whole, s).count()):
@@ -149,11 +151,13 @@ def run_command(argv: list[str], spark: SparkSession | None = None, out: Callabl
                 counts.append(run())
                 times.append(time.perf_counter() - begin)
             out(f"{pattern}: scan {times[0]:.2f}s, indexed {times[1]:.2f}s, {counts[0]} and {counts[1]} lines")
+        remove(spark, index.path)
         return 0
     if not Index.is_current(spark, a.output):
         if argv[0] == "stats":
-            row = Index.build(corpus, f"{a.output}-stats-{os.getpid()}").stats().first()
-            out(", ".join(f"{k}={v}" for k, v in row.asDict().items()))
+            index = Index.build(corpus, scratch_path(spark, "stats"), a.ignore_case)
+            out(", ".join(f"{k}={v}" for k, v in (index.stats().first().asDict() | {"bytes": index.size()}).items()))
+            remove(spark, index.path)
             return 0
         print(f"no index at {a.output}", file=sys.stderr)
         return 1

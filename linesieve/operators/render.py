@@ -27,9 +27,9 @@ def highlight(line: Column, matcher: Matcher) -> Column:
     return F.regexp_replace(matcher.marked(line, MATCH, RESET), MATCH.replace("[", r"\[") + RESET.replace("[", r"\["), "")
 
 
-def render(corpus: Corpus, spec: SearchSpec, format: OutputFormat | str = OutputFormat.GREP, color: bool = False) -> DataFrame:
+def render(corpus: Corpus, spec: SearchSpec, format: OutputFormat | str = OutputFormat.GREP, color: bool = False, kinds: bool = False) -> DataFrame:
     """path, ord, sub, out. ord is the line number, 0 for a heading; sub orders what belongs to one line: a separator
-    before it (-1), the line or its matches (from 0)."""
+    before it (-1), the line or its matches (from 0). kinds adds kind: match, context, or mark for headings and separators."""
     format = OutputFormat(format)
     heading = format is not OutputFormat.GREP
     matcher = plan(spec)
@@ -45,13 +45,14 @@ def render(corpus: Corpus, spec: SearchSpec, format: OutputFormat | str = Output
     mark = F.when(F.col("kind") == "match", ":").otherwise("-")
     number = paint(F.col("ord").cast("string"), NUMBER)
     out = F.concat(number, mark, text) if heading else F.concat(paint(name, PATH), mark, number, mark, text)
-    body = hits.select("path", "ord", "sub", out.alias("out"))
+    kind = lambda c: [c.alias("kind")] if kinds else []
+    body = hits.select("path", "ord", "sub", out.alias("out"), *kind(F.col("kind")))
     opts = spec.effective_context
     if (opts.before or opts.after) and not spec.substrings:
         first = hits.filter("chunk > 0").groupBy("path", "chunk").agg(F.min("ord").alias("ord"))
-        body = body.unionByName(first.select("path", "ord", F.lit(-1).alias("sub"), F.lit(SEPARATOR).alias("out")))
+        body = body.unionByName(first.select("path", "ord", F.lit(-1).alias("sub"), F.lit(SEPARATOR).alias("out"), *kind(F.lit("mark"))))
     if heading:
-        heads = hits.select("path").distinct().select("path", F.lit(0).alias("ord"), F.lit(0).alias("sub"), paint(name, PATH).alias("out"))
+        heads = hits.select("path").distinct().select("path", F.lit(0).alias("ord"), F.lit(0).alias("sub"), paint(name, PATH).alias("out"), *kind(F.lit("mark")))
         body = body.unionByName(heads)
     return body
 

@@ -232,7 +232,7 @@ def test_lock_of_the_dead(spark, built, monkeypatch):
         pass
 
 
-def test_cli(spark, tmp_path):
+def test_cli(spark, tmp_path, capsys):
     from linesieve import cli
 
     root, out = str(tmp_path / "t"), []
@@ -249,6 +249,12 @@ def test_cli(spark, tmp_path):
     for c in (["index", root, "-o", str(tmp_path / "j")], ["update", root, "-o", str(tmp_path / "j")], ["stats", root, "-o", str(tmp_path / "j")], ["bench", root, "-o", str(tmp_path / "k"), "--pattern", "fn"]):
         assert cli.run_command(c, spark, out.append) == 0
     assert "3 and 3 lines" in out[-1]
+    assert cli.run_command(["stats", root, "-o", str(tmp_path / "none")], spark, out.append) == 0
+    assert "docs=" in out[-1] and int(out[-1].split("bytes=")[1]) > 0
+    assert sorted(os.listdir(tmp_path)) == ["i", "j", "t"]  # indexes for one question are gone
+    capsys.readouterr()
+    cli.run_search(["fn", root, "-C", "1", "--heading"], spark, out.append)
+    assert "3 matches" in capsys.readouterr().err  # neither headings nor context count
 
 
 def test_trigram_numbers(spark):
