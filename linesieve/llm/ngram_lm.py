@@ -35,7 +35,9 @@ LEAST_BITS, MOST_BITS = 16, 24
 #: Probes for the first class, which tells whether an n-gram is there at all, and for each further one.
 FIRST_PROBES, MORE_PROBES = 6, 3
 #: Rows of a block, as a power of two, and bytes of text after which a part of it is counted by itself.
-BLOCK_BITS, PIECE_BYTES = 12, 12 << 20
+BLOCK_BITS, PIECE_BYTES = 11, 12 << 20
+#: Tasks that score at most; as many as there are blocks below that, so that none grows with the input.
+MOST_TASKS = 1 << 15
 #: Bytes whose words, and tokens whose probabilities, are in memory as such at a time.
 STEP_BYTES, STEP_TOKENS = 1 << 20, 1 << 18
 END, START = b"\n", b"\n\n"  # no word has white space
@@ -487,5 +489,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, kappa: float = KAPPA, b
         return pd.concat(out, ignore_index=True)
 
     asked = answers.filter("block >= 0").select("block", "first", "last", "range", "ord", "answers")
-    table = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(score, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    tasks = min(MOST_TASKS, source.rdd.getNumPartitions() + (texts * FOLDS // (FOLDS - 1) >> BLOCK_BITS))
+    dealt = lambda x: x.repartition(max(1, tasks), "block").groupBy("block")
+    table = dealt(rows).cogroup(dealt(asked)).applyInPandas(score, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return table.select(F.col("doc_id").cast("long"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
