@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.operators.index import Index, write_postings, write_store
+from linesieve.operators.index import DOCS, Index, repacked, unpacked, write_postings, write_store
 from linesieve.sources.corpus import Corpus
 
 
@@ -76,9 +76,9 @@ def apply_changes(index: Index, changes: DataFrame) -> None:
         old = index.delta
         if old.path:
             stale = old.table("docs").join(paths, "path", "left_semi").select("doc_id")
-            old.table("docs").join(paths, "path", "left_anti").select("doc_id", "path", "relpath", "length", "mtime").write.mode("append").parquet(f"{store}/docs")
+            old.table("docs").join(paths, "path", "left_anti").select(*DOCS).write.mode("append").parquet(f"{store}/docs")
             for mark in ("", "_ci") if ci else ("",):
-                write_postings(old.table(f"postings{mark}").join(stale, "doc_id", "left_anti"), f"{store}/postings{mark}", index.meta["slots"])
+                write_postings(repacked(unpacked(old.table(f"postings{mark}")).join(stale, "doc_id", "left_anti"), index.meta["slots"]), f"{store}/postings{mark}", index.meta["slots"])
         gone = index.main.table("docs").join(paths, "path", "left_semi").select("doc_id").unionByName(index.deleted()).distinct()
         gone.write.parquet(f"{index.path}/deleted-{run}")
         index._commit(delta=f"delta-{run}", deleted=f"deleted-{run}")

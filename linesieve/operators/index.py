@@ -5,10 +5,11 @@ Layout of an index folder: CURRENT names the version in use and holds its meta d
 no longer count. New data are written beside the old and taken into use by one small file, so a lost executor or driver
 leaves the index as it was.
 
-postings has one row for each trigram of a document, with the lines that hold it: what is asked of documents reads two
-columns of it. Trigrams are numbers, three characters of 21 bits. Rows are dealt by a hash of the trigram and of the
-document, so that a very common trigram is in many tasks, and lie in folders by that hash of the trigram, in order: a
-look-up opens the folders of its trigrams only and reads few row groups in them.
+postings has one row for each trigram of a block of documents, with those that hold it and, in another column, their lines,
+packed by functions/packing.py: what is asked of documents doesn't read the lines. Where lines begin is told by docs alone.
+Trigrams are numbers, three characters of 21 bits. Rows are dealt by a hash of the trigram and of the block, so that a very
+common trigram is in many tasks, and lie in folders by that hash of the trigram, in order: a look-up opens the folders of
+its trigrams only and reads few row groups in them.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from datetime import UTC, datetime
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from linesieve.functions import regex
+from linesieve.functions import packing, regex
 from linesieve.functions.casefold import fold_column
 from linesieve.operators.lines import line_array
 from linesieve.operators.search import lines_of, shown
@@ -35,7 +38,7 @@ from linesieve.plans.storage import scratch_path
 from linesieve.sources.corpus import Corpus
 from linesieve.spec import SearchSpec
 
-VERSION = 2
+VERSION = 3
 #: Documents of main for each folder of postings, and folders at most.
 SLOT_DOCS, MAX_SLOTS = 512, 256
 #: Up to this share of the documents, or this number, documents are read whole rather than by candidate lines.
@@ -44,9 +47,10 @@ DOCS_SHARE, DOCS_LEAST, DENSE = 0.007, 500, 10
 RAREST = 4
 #: Candidates that are broadcast, of a few bytes each, and that are named in the scan's own filter, at most.
 BROADCAST_IDS, SCAN_IDS = 1_000_000, 1000
-TABLES = {"docs": "doc_id long, path string, relpath string, length long, mtime timestamp", "postings": "gram long, doc_id long, lines array<int>, offsets array<long>, slot int"}
-#: Postings of one batch that leaves a worker.
-_BATCH = 1 << 18
+TABLES = {"docs": "doc_id long, path string, relpath string, length long, mtime timestamp, line_bytes array<int>", "postings": f"{packing.ROWS}, slot int"}
+DOCS = [x.split()[0] for x in TABLES["docs"].split(", ")]
+#: Postings of one batch that leaves a worker; characters, or postings, of a block; rows of a batch of blocks' rows.
+_BATCH, BLOCK_CHARS, BLOCK_POSTINGS, _ROWS = 1 << 18, 1 << 22, 1 << 21, 1 << 14
 
 
 def gram(trigram: str) -> int:
@@ -164,14 +168,15 @@ def matching_documents(pairs: DataFrame, terms: list[frozenset[str]]) -> DataFra
 
 
 def matching_lines(posts: DataFrame, terms: list[frozenset[str]]) -> DataFrame:
-    """postings -> doc_id, line_no, byte_offset of lines with all trigrams of an alternative.
+    """postings -> doc_id, line_no and, if they have offsets, byte_offset of lines with all trigrams of an alternative.
 
     The lists of lines of a document meet in its row, as many as the alternative has trigrams, and only of documents that
     have all of them; only what is in every list becomes rows.
     """
-    lists = _hits(posts.select("gram", "doc_id", F.arrays_zip("lines", "offsets").alias("at")), terms).groupBy("alt", "doc_id", "need").agg(F.collect_list("at").alias("ls"))
+    columns = [x for x in ("lines", "offsets") if x in posts.columns]
+    lists = _hits(posts.select("gram", "doc_id", F.arrays_zip(*columns).alias("at")), terms).groupBy("alt", "doc_id", "need").agg(F.collect_list("at").alias("ls"))
     both = F.aggregate(F.slice("ls", 2, F.size("ls")), F.get("ls", 0), F.array_intersect)
-    found = lists.filter(F.size("ls") == F.col("need")).select("doc_id", F.explode(both).alias("x")).select("doc_id", F.col("x.lines").alias("line_no"), F.col("x.offsets").alias("byte_offset"))
+    found = lists.filter(F.size("ls") == F.col("need")).select("doc_id", F.explode(both).alias("x")).select("doc_id", *[F.col(f"x.{x}").alias({"lines": "line_no", "offsets": "byte_offset"}[x]) for x in columns])
     return found if len(terms) == 1 else found.distinct()
 
 
@@ -203,21 +208,104 @@ class Store:
 
 def write_store(corpus: DataFrame, path: str, case_insensitive: bool, slots: int) -> None:
     """corpus (doc_id, path, relpath, text, length, mtime) -> the tables of a store."""
-    corpus.select("doc_id", "path", "relpath", "length", "mtime").write.parquet(f"{path}/docs")
+    corpus.withColumn("line_bytes", F.transform(F.split("text", "\n", -1), F.octet_length)).select(*DOCS).write.parquet(f"{path}/docs")
     for mark in ("", "_ci") if case_insensitive else ("",):
-        write_postings(postings(corpus, bool(mark)), f"{path}/postings{mark}", slots)
+        write_postings(packed(corpus, bool(mark), slots), f"{path}/postings{mark}", slots)
 
 
-def slot(number: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(number), F.lit(slots)).cast("int")
+_CHUNKS = "slot int, base long, chunk binary"
 
 
-def write_postings(rows: DataFrame, path: str, slots: int) -> None:
-    """A trigram's rows are dealt by document, too: to about two deals a task in all."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(max(1, -(-2 * tasks // slots))))
-    placed = rows.select("gram", "doc_id", "lines", "offsets", slot(F.col("gram"), slots).alias("slot"), deal.alias("deal"))
-    placed.repartition("slot", "deal").sortWithinPartitions("slot", "gram", "doc_id").drop("deal").write.mode("append").option("parquet.block.size", 16 << 20).partitionBy("slot").parquet(path)
+def _put(found: tuple[np.ndarray, np.ndarray, np.ndarray], slots: int) -> Iterator[pa.RecordBatch]:
+    made = list(packing.chunks(*found, slots))
+    if made:
+        slot, base, chunk = zip(*made, strict=True)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "base": pa.array(base, pa.int64()), "chunk": pa.array(chunk, pa.binary())})
+
+
+def packed(docs: DataFrame, folded: bool, slots: int) -> DataFrame:
+    """docs (doc_id, text) -> slot, base, chunk: the postings of blocks of texts, cut by folder. One pass, no shuffle."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for b in batches:
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                ids.append(i)
+                texts.append(text.as_py())
+                size += len(texts[-1]) + 1
+                if size >= BLOCK_CHARS:
+                    yield from _put(packing.block_postings(np.array(ids, np.int64), texts, folded), slots)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield from _put(packing.block_postings(np.array(ids, np.int64), texts, folded), slots)
+
+    return docs.filter("text IS NOT NULL").select("doc_id", "text").mapInArrow(make, _CHUNKS)
+
+
+def repacked(rows: DataFrame, slots: int) -> DataFrame:
+    """gram, doc_id, lines -> slot, base, chunk."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put() -> Iterator[pa.RecordBatch]:
+            gram, doc, line = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((line, doc, gram))
+            return _put((gram[order], doc[order], line[order]), slots)
+
+        held, size = [], 0
+        for b in batches:
+            lists = b.column("lines")
+            n, line = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+            held.append((*(np.repeat(b.column(x).to_numpy(zero_copy_only=False), n) for x in ("gram", "doc_id")), line.astype(np.int64)))
+            size += len(line)
+            if size >= BLOCK_POSTINGS:
+                yield from put()
+                held, size = [], 0
+        if size:
+            yield from put()
+
+    return rows.select("gram", "doc_id", "lines").mapInArrow(make, _CHUNKS)
+
+
+def write_postings(chunks: DataFrame, path: str, slots: int) -> None:
+    """Chunks are what is shuffled. A trigram's are dealt by block, too: to about two deals a task in all."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put() -> pa.RecordBatch:
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        held, size = [], 0
+        for b in batches:
+            for slot, base, chunk in zip(b.column("slot").to_pylist(), b.column("base").to_pylist(), b.column("chunk"), strict=True):
+                rows = packing.rows_of(base, chunk.as_py())
+                held.append(rows.append_column("slot", pa.array(np.full(rows.num_rows, slot, np.int32))))
+                size += rows.num_rows
+                if size >= _ROWS:
+                    yield put()
+                    held, size = [], 0
+        if held:
+            yield put()
+
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.xxhash64("base", F.lit(3)), F.lit(max(1, -(-2 * tasks // slots))))
+    rows = chunks.repartition("slot", deal).mapInArrow(make, TABLES["postings"])
+    rows.sortWithinPartitions("slot", "gram", "base").write.mode("append").option("compression", "zstd").option("parquet.block.size", 16 << 20).partitionBy("slot").parquet(path)
+
+
+def unpacked(rows: DataFrame, lines: bool = True) -> DataFrame:
+    """Rows of a store's postings -> gram, doc_id and lines, or without those: a row for each document of a trigram."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from map(packing.postings_of, packing.some(b))
+
+    return rows.select("gram", "base", "n", "docs", *["lines"] * lines).mapInArrow(make, "gram long, doc_id long" + ", lines array<int>" * lines)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def begins(line_bytes: pd.Series) -> pd.Series:
+    """Where the lines of these lengths begin, each with a line end."""
+    return line_bytes.map(lambda n: np.append(0, np.cumsum(np.asarray(n, np.int64)[:-1] + 1)))
 
 
 @dataclass
@@ -329,23 +417,24 @@ class Index:
             return self.spark.createDataFrame([], "doc_id long")
         return self.spark.read.schema("doc_id long").parquet(f"{self.path}/{self.meta['deleted']}")
 
-    def live(self, name: str, grams: set[str] | None = None) -> DataFrame:
-        """A table of main without what was deleted, and of delta; of postings those of the given trigrams, if any."""
+    def live(self, name: str, grams: set[str] | None = None, lines: bool = True) -> DataFrame:
+        """A table of main without what was deleted, and of delta; of postings those of the given trigrams, if any, a row for
+        each document, with or without its lines."""
         parts = []
         for store, tombs in ((self.main, bool(self.meta.get("deleted"))), (self.delta, False)):
             if store.path is None:
                 continue
             t = store.table(name)
-            if grams is not None:
-                t = self.only(t, grams)
+            if name.startswith("postings"):
+                t = unpacked(t if grams is None else self.only(t, grams), lines)
             parts.append(t.join(self.deleted(), "doc_id", "left_anti").select(*t.columns) if tombs else t)
         return reduce(DataFrame.unionByName, parts)
 
     def only(self, table: DataFrame, grams: set[str]) -> DataFrame:
         """Postings of these trigrams: their folders, and the row groups in which they may be."""
-        numbers = sorted(map(gram, grams))
-        slots = [r["s"] for r in self.spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in numbers])).alias("g")).select(slot(F.col("g"), self.meta["slots"]).alias("s")).distinct().collect()]
-        return table.filter(F.col("slot").isin(slots) & F.col("gram").isin(numbers))
+        wanted = np.array(sorted(map(gram, grams)), np.int64)
+        slots = np.unique(packing.slots_of(wanted, self.meta["slots"])).tolist()
+        return table.filter(F.col("slot").isin(slots) & F.col("gram").isin(wanted.tolist()))
 
     def docs(self) -> DataFrame:
         return self.live("docs")
@@ -361,7 +450,7 @@ class Index:
 
     def document_frequencies(self, mark: str, grams: list[str]) -> dict[str, int]:
         """Of a pattern's trigrams; main's counts will do for choosing a way."""
-        rows = self.only(self.main.table(f"postings{mark}"), set(grams)).groupBy("gram").agg(F.count("*").alias("n")).collect()
+        rows = self.only(self.main.table(f"postings{mark}"), set(grams)).groupBy("gram").agg(F.sum("n").alias("n")).collect()
         by = {r["gram"]: r["n"] for r in rows}
         return {t: by.get(gram(t), 0) for t in grams}
 
@@ -391,10 +480,16 @@ class Index:
         if spec.invert or terms is None:
             return self.docs().select("doc_id")
         terms = terms if most is None else self.rarest(mark, terms, most)
-        return matching_documents(self.live(f"postings{mark}", set().union(*terms)), terms)
+        return matching_documents(self.live(f"postings{mark}", set().union(*terms), lines=False), terms)
 
     def candidate_lines(self, spec: SearchSpec, most: int | None = None) -> DataFrame:
         """doc_id, line_no, byte_offset."""
+        at = self._numbered(spec, most).groupBy("doc_id").agg(F.collect_list("line_no").alias("at"))
+        both = at.join(self.docs().select("doc_id", "line_bytes"), "doc_id").select("doc_id", "at", begins("line_bytes").alias("begins"))
+        return both.select("doc_id", "begins", F.explode("at").alias("line_no")).select("doc_id", "line_no", F.get("begins", F.col("line_no") - 1).alias("byte_offset"))
+
+    def _numbered(self, spec: SearchSpec, most: int | None = None) -> DataFrame:
+        """doc_id, line_no."""
         mark, terms = self.routed(spec)
         if terms is None:
             raise ValueError("the pattern has no trigrams")
@@ -422,7 +517,7 @@ class Index:
         strategy = strategy or self.strategy(spec)
         matcher = plan(spec)
         if strategy == "lines":
-            hits = self.candidate_lines(spec, RAREST).groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
+            hits = self._numbered(spec, RAREST).groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
             docs = self.picked(corpus.where(spec).docs, hits, "inner")
             lines = docs.select("doc_id", "path", line_array(F.col("text")).alias("ls"), "at").select("path", "ls", F.explode("at").alias("line_no"))
             found = lines.select("path", "line_no", F.get("ls", F.col("line_no") - 1).alias("line")).filter(matcher.matches(F.col("line")))
@@ -459,7 +554,9 @@ class Index:
 
     def stats(self) -> DataFrame:
         """docs, trigrams, postings, avg_postings: one row. A posting is a line that holds a trigram."""
-        per = self.live("postings").groupBy("gram").agg(F.sum(F.size("lines")).alias("n"))
+        # A block's rows have counts of their own; only where documents are deleted are they counted one by one.
+        rows = self.live("postings").select("gram", F.size("lines").alias("m")) if self.meta.get("deleted") else reduce(DataFrame.unionByName, [s.table("postings").select("gram", "m") for s in (self.main, self.delta) if s.path])
+        per = rows.groupBy("gram").agg(F.sum("m").alias("n"))
         x = per.agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.avg("n").alias("avg_postings"))
         return self.docs().agg(F.count("*").alias("docs")).crossJoin(x)  # one row and one row
 

@@ -1,9 +1,13 @@
 import os
+import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linesieve.functions import packing
+from linesieve.functions.casefold import fold
 from linesieve.operators import incremental, search
 from linesieve.operators import index as ix
 from linesieve.plans.storage import scratch_path
@@ -283,6 +287,63 @@ def test_postings_against_plain_python(spark):
     assert ix.postings(docs.filter("false")).count() == 0
 
 
+MANY_LETTERS = "\n".join("".join(map(chr, range(a, a + 13))) for a in range(0x20000, 0x20000 + 70_200, 13))
+
+
+@pytest.mark.parametrize("folded", [False, True])
+def test_packed_postings_against_plain_python(folded):
+    texts = ["", "ab", "abc", "abcabc\nxabc\n\nabc", "é日🙂é日🙂\nab\né日🙂", "a\r\nbc\r\n" * 3, "x" * 5000, "\n" * 50, "K ſ ß İ\nKSS", "\n".join(["abc"] * 300), MANY_LETTERS]
+    for ids, texts in ((range(len(texts)), texts), ([5, 3, 900, -7, 2**63 - 1, -(2**63), 1, 2, 8, 127], texts[:-1])):
+        want = {(ix.gram(x[k : k + 3]), i, n) for i, t in zip(ids, texts) for n, x in enumerate((fold(t) if folded else t).split("\n"), 1) for k in range(len(x) - 2)}
+        found = packing.block_postings(np.array(ids), texts, folded)
+        assert len(found[0]) == len(want) and set(zip(*(x.tolist() for x in found))) == want
+        for slots in (1, 7):
+            rows = [(slot, packing.rows_of(base, chunk)) for slot, base, chunk in packing.chunks(*found, slots)]
+            assert all((packing.slots_of(b.column("gram").to_numpy(), slots) == slot).all() for slot, b in rows)
+            got = [r for _, b in rows for part in packing.some(b, 5) for r in packing.postings_of(part).to_pylist()]
+            assert {(r["gram"], r["doc_id"], n) for r in got for n in r["lines"]} == want and sum(len(r["lines"]) for r in got) == len(want)
+            assert sum(b.column("m").to_numpy().sum() for _, b in rows) == len(want) and sum(b.column("n").to_numpy().sum() for _, b in rows) == len(got)
+            assert [r["doc_id"] for _, b in rows for r in packing.postings_of(b.select(["gram", "base", "n", "docs"])).to_pylist()] == [r["doc_id"] for r in got]
+
+
+def test_small_blocks_and_offsets(spark, monkeypatch):
+    """However texts are cut into blocks, the stored postings are those of the texts, and lines begin where they do."""
+    monkeypatch.setattr(ix, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(ix, "BLOCK_POSTINGS", 40)
+    tree = TREE | {f"n{i}": f"é{i}\nthe function é\n\nxyz function\n" * (i % 4) for i in range(30)}
+    old = corpus(spark, {k: v for k, v in tree.items() if k != "n3"})
+    index = ix.Index.build(old, scratch_path(spark, "t"), case_insensitive=True)
+    changes = [(1000 + i, p, p, t, len(t), t == "") for i, (p, t) in enumerate([("n3", tree["n3"]), ("n5", ""), ("n6", "a function\n")])]
+    for part in (changes[:2], changes[2:]):  # the second carries over what delta has
+        incremental.apply_changes(index, spark.createDataFrame(part, "doc_id long, path string, relpath string, text string, length long, removed boolean").withColumn("mtime", F.timestamp_seconds(F.lit(9))))
+    now = [(r["doc_id"], r["path"], r["text"]) for r in old.docs.collect() if r["path"] not in ("n5", "n6")] + [(1000, "n3", tree["n3"]), (1002, "n6", "a function\n")]
+    c = Corpus.from_table(spark.createDataFrame(now, "doc_id long, path string, text string"), "path")
+    for mark in ("", "_ci"):
+        want = {(r["gram"], r["doc_id"]): r["lines"] for r in ix.postings(c.docs, bool(mark)).collect()}
+        got = [tuple(r) for r in index.live(f"postings{mark}").collect()]
+        assert len(got) == len(want) and {(g, d): n for g, d, n in got} == want
+        assert sorted(tuple(r) for r in index.live(f"postings{mark}", lines=False).collect()) == sorted(want)
+    spec = SearchSpec("function")
+    want = sorted(tuple(r) for r in ix.matching_lines(ix.postings(c.docs), ix.terms_of(spec, False)).collect())
+    assert sorted(tuple(r) for r in index.candidate_lines(spec).collect()) == want and any(x[2] for x in want)
+    assert index.stats().first()["postings"] == sum(len(r["lines"]) for r in ix.postings(c.docs).collect())
+
+
+def test_disk_of_a_build(spark):
+    """What a build shuffles and what it keeps are together less than four times the texts, folded postings among them and
+    though words are random letters."""
+    at = random.Random(1)
+    words = ["".join(at.choices("abcdefghijklmnopqrstuvwxyz", k=at.randint(2, 9))).capitalize() for _ in range(2000)]
+    texts = [" ".join(w + "\n" * (at.random() < 0.05) for w in at.choices(words, k=400)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    written = lambda: (lambda x: sum(x.apply(i).totalShuffleWrite() for i in range(x.size())))(spark.sparkContext._jsc.sc().statusStore().executorList(False))
+    before = written()
+    index = ix.Index.build(Corpus.from_table(docs, F.col("doc_id").cast("string")), scratch_path(spark, "t"), case_insensitive=True)
+    time.sleep(1)
+    shuffled = written() - before
+    assert shuffled > 0 and shuffled + index.size() < 4 * sum(map(len, texts)), (shuffled, index.size(), sum(map(len, texts)))
+
+
 def test_look_up_moves_no_texts(spark, built):
     """However it is searched, texts are not shuffled, and folders of other trigrams are not read."""
     c, index, _ = built
